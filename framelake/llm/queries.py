@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framelake.llm import bpe, mixing, secrets
+from framelake.llm import bpe, fingerprints, mixing, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": secrets.op1_secrets,
+    "op3_fingerprints": fingerprints.op3_fingerprints,
     "op4_mixing": mixing.op4_mixing,
     "op10_bpe": bpe.op10_bpe,
 }
