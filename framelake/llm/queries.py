@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framelake.llm import bpe, fingerprints, mixing, secrets
+from framelake.llm import bpe, fingerprints, jaccard, mixing, neighbours, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": secrets.op1_secrets,
     "op3_fingerprints": fingerprints.op3_fingerprints,
     "op4_mixing": mixing.op4_mixing,
+    "op8_jaccard": jaccard.op8_jaccard,
+    "op9_neighbours": neighbours.op9_neighbours,
     "op10_bpe": bpe.op10_bpe,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op9_neighbours": neighbours.OP9_SQL}
