@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framelake.llm import bpe, fingerprints, jaccard, mixing, neighbours, secrets
+from framelake.llm import bpe, fingerprints, jaccard, mixing, neighbours, ngrams, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": secrets.op1_secrets,
     "op3_fingerprints": fingerprints.op3_fingerprints,
     "op4_mixing": mixing.op4_mixing,
+    "op6_ngrams": ngrams.op6_ngrams,
     "op8_jaccard": jaccard.op8_jaccard,
     "op9_neighbours": neighbours.op9_neighbours,
     "op10_bpe": bpe.op10_bpe,
