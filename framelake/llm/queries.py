@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framelake.llm import bpe, fingerprints, jaccard, mixing, neighbours, ngrams, secrets
+from framelake.llm import bpe, fingerprints, jaccard, mixing, neighbours, ngrams, secrets, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": secrets.op1_secrets,
+    "op2_suffixes": suffixes.op2_suffixes,
     "op3_fingerprints": fingerprints.op3_fingerprints,
     "op4_mixing": mixing.op4_mixing,
     "op6_ngrams": ngrams.op6_ngrams,
