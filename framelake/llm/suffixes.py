@@ -94,16 +94,14 @@ def runs_of(held: list[bytes]) -> tuple[np.ndarray, ...]:
         return empty.astype(np.uint64), empty.astype(np.uint64), empty, empty, empty
     data = np.frombuffer(b"".join(held), np.uint8)
     h = anchors(data)
-    # The least of the hashes of a window, its place (modulo 128) in the low bits.
-    low = (h & ~np.uint64(127)) | (np.arange(len(h), dtype=np.uint64) & np.uint64(127))
-    width = 1
-    while width * 2 <= LENGTH - ANCHOR + 1:
-        low = np.minimum(low[:-width], low[width:])
-        width *= 2
-    rest = LENGTH - ANCHOR + 1 - width
-    low = np.minimum(low[: len(low) - rest], low[rest:])
-    start = np.arange(len(low))
-    place = start + (((low & np.uint64(127)).astype(np.int64) - start) & 127)
+    # The place of the first of a window's least hashes: equal windows have it at the same offset, so no two windows of a run are equal.
+    low, place, width, wanted = h, np.arange(len(h), dtype=np.int32), 1, LENGTH - ANCHOR + 1
+    while width < wanted:
+        step = min(width, wanted - width)
+        right = low[step:] < low[:-step]
+        place = np.where(right, place[step:], place[:-step])
+        low = np.minimum(low[:-step], low[step:])
+        width += step
     begin = np.cumsum(sizes) - sizes
     last = begin + sizes - LENGTH  # of each text, the last window
     valid = np.zeros(len(low) + 1, bool)
