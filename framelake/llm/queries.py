@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framelake.llm import bpe, fingerprints, jaccard, mixing, neighbours, ngrams, secrets, suffixes
+from framelake.llm import bpe, chat, fingerprints, jaccard, mixing, neighbours, ngrams, secrets, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": secrets.op1_secrets,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_fingerprints": fingerprints.op3_fingerprints,
     "op4_mixing": mixing.op4_mixing,
     "op6_ngrams": ngrams.op6_ngrams,
+    "op7_chat": chat.op7_chat,
     "op8_jaccard": jaccard.op8_jaccard,
     "op9_neighbours": neighbours.op9_neighbours,
     "op10_bpe": bpe.op10_bpe,
