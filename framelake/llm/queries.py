@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framelake.llm import bpe, chat, fingerprints, jaccard, mixing, neighbours, ngrams, secrets, suffixes
+from framelake.llm import bpe, chat, fingerprints, jaccard, mixing, neighbours, ngrams, secrets, suffixes, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": secrets.op1_secrets,
     "op2_suffixes": suffixes.op2_suffixes,
     "op3_fingerprints": fingerprints.op3_fingerprints,
     "op4_mixing": mixing.op4_mixing,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_ngrams": ngrams.op6_ngrams,
     "op7_chat": chat.op7_chat,
     "op8_jaccard": jaccard.op8_jaccard,
