@@ -3,8 +3,8 @@
 Every byte covered by a 100-byte string that also starts earlier (in a document of a smaller id, or earlier in the same one) is removed.
 
 A suffix sort of all bytes isn't needed: only 100-byte prefixes are compared. So suffixes are dealt by content. Each
-100-byte window has an anchor, its 16-byte string of least hash; equal windows have equal anchors, so they can be told apart
-within one anchor's suffixes. Windows one after another that share an anchor are a run (about 40 windows), and a run's bytes
+100-byte window has an anchor, its 32-byte string of least hash; equal windows have equal anchors, so they can be told apart
+within one anchor's suffixes. Windows one after another that share an anchor are a run (about 35 windows), and a run's bytes
 fix its windows. Runs of equal bytes are told by a hash: all but the first are repeats as a whole, and only one run of each kind
 goes on, and only if its anchor has runs of several kinds. Of these the bytes are fetched, and each anchor's pieces are sorted
 by the difference cover modulo 3: suffixes at places 1 and 2 modulo 3 are sorted by their triples of symbols, which get names;
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from framelake.llm.common import batches_of, materialize, table, texts
 
 LENGTH = 100
-ANCHOR = 16
+ANCHOR = 32
 RANGES = 64
 #: Runs that a worker gathers before it sends them, kinds of runs of an anchor that are sorted in one task, and symbols sorted at once.
 BATCH_RUNS = 400_000
@@ -79,9 +79,9 @@ def substring_hash(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, k: in
 
 
 def anchors(data: np.ndarray) -> np.ndarray:
-    """Hash of the 16 bytes at each place but the last 15."""
+    """Hash of the 32 bytes at each place but the last 31."""
     h = _BYTE[2][data]
-    for step, odd in zip((1, 2, 4, 8), _ODD[2:6]):
+    for step, odd in zip((1, 2, 4, 8, 16), _ODD[1:6]):
         h = h[:-step] * odd + (h[step:] ^ (h[step:] >> np.uint64(29)))
     return finish(h)
 
@@ -315,7 +315,7 @@ def suffix_order(t: np.ndarray, length: int = LENGTH, covered: int = 1) -> np.nd
     ones = len(range(1, n + (n % 3 == 1), 3))
     if int(t.max()) < 1 << 21:
         key = padded[sampled] << 42 | padded[sampled + 1] << 21 | padded[sampled + 2]
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         key = key[order]
         new = np.concatenate([[True], key[1:] != key[:-1]])
         del key
@@ -335,17 +335,17 @@ def suffix_order(t: np.ndarray, length: int = LENGTH, covered: int = 1) -> np.nd
     zero = np.arange(0, n, 3)
     wide = np.int64(n + 5)
     after_one = lambda i: padded[i] * wide + ranks[i + 1]
-    zero = zero[np.argsort(after_one(zero), kind="stable")]
+    zero = zero[np.argsort(after_one(zero))]
     one, two = in_order[in_order % 3 == 1], in_order[in_order % 3 == 2]
     # Each of the remaining suffixes against both kinds of sampled ones: by a symbol and the rank after it, or two symbols and the rank after them.
     less = np.searchsorted(after_one(one), after_one(zero))
-    second = np.concatenate([padded[two + 1], padded[zero + 1]])
-    _, second = np.unique(second, return_inverse=True)
-    firsts = np.unique(padded[:n], return_inverse=True)[1]
-    if len(two):
-        pairs = np.concatenate([firsts[two], firsts[zero]]) * np.int64(second.max() + 1) + second
-        pairs = np.unique(pairs, return_inverse=True)[1]
-        key = pairs * wide + np.concatenate([ranks[two + 2], ranks[zero + 2]])
+    if max(n + 4, int(t.max())) < 1 << 21:
+        after_two = lambda i: padded[i] << 42 | padded[i + 1] << 21 | ranks[i + 2]
+        less = less + np.searchsorted(after_two(two), after_two(zero))
+    elif len(two):
+        both = np.concatenate([two, zero])
+        pairs = np.unique(np.stack([padded[both], padded[both + 1]]), axis=1, return_inverse=True)[1].ravel()
+        key = pairs * wide + ranks[both + 2]
         less = less + np.searchsorted(key[: len(two)], key[len(two) :])
     less = np.maximum.accumulate(less)  # among suffixes that agree in all of length, any order will do
     out = np.empty(n, np.int64)
@@ -372,14 +372,18 @@ def repeated_windows(pieces: list[bytes], n: np.ndarray, doc: np.ndarray, first:
     order = suffix_order(t)
     order = order[offset[order] < n[piece[order]]]
     same = np.zeros(len(order), bool)
-    narrow = np.where(inside, t, 0).astype(np.uint16)
-    for at in range(0, len(order) - 1, 20_000):
-        a, b = order[at : at + 20_000], order[at + 1 : at + 20_001]
-        a = a[: len(b)]
-        go = np.flatnonzero((narrow[a] == narrow[b]) & (narrow[a + LENGTH - 1] == narrow[b + LENGTH - 1]))
-        span = np.arange(LENGTH)
-        same[at + 1 + go] = (narrow[a[go][:, None] + span] == narrow[b[go][:, None] + span]).all(axis=1)
-    group = np.cumsum(~same)
+    raw = np.zeros(len(t) + 8, np.uint8)
+    raw[: len(t)][inside] = (t[inside] - 1).astype(np.uint8)
+    eight = np.ndarray((len(t),), np.uint64, raw, strides=(1,))  # the eight bytes from each place on
+    steps = [*range(0, LENGTH - 8, 8), LENGTH - 8]
+    a, b = order[:-1], order[1:]
+    left = np.flatnonzero(eight[a] == eight[b])
+    for step in steps[1:]:
+        left = left[eight[a[left] + step] == eight[b[left] + step]]
+    same[left + 1] = True
+    some = same.copy()
+    some[:-1] |= same[1:]
+    group, order = np.cumsum(~same)[some], order[some]
     d, w = doc[piece[order]], first[piece[order]] + offset[order]
     by_place = np.lexsort((w, d, group))
     later = ~changes(group[by_place])
