@@ -99,11 +99,12 @@ def with_next(rows: DataFrame, columns: list[str], group: int = IDS_A_GROUP) ->
     above = materialize(above, "order")
     dealt = rows.withColumn("_key", key).withColumn("_group", own).join(above, F.col("_key") == F.col("_top"), "left")
     one = lambda g, copy: F.struct(g.alias("g"), F.lit(copy).alias("copy"))
-    dealt = dealt.withColumn("_to", F.explode(F.when(F.col("_above").isNull(), F.array(one(F.col("_group"), 0))).otherwise(F.array(one(F.col("_group"), 0), one(F.col("_above"), 1)))))
-    order = Window.partitionBy("_to.g").orderBy("_to.copy", F.col("_key").desc(), *columns)
-    for c in columns:
-        dealt = dealt.withColumn(f"next_{c}", F.lead(c).over(order))
-    return dealt.where(F.col("_to.copy") == 0).select(*rows.columns, *[f"next_{c}" for c in columns])
+    both = F.array(one(F.col("_group"), 0), one(F.col("_above"), 1))
+    dealt = dealt.withColumn("_to", F.explode(F.when(F.col("_above").isNull(), F.slice(both, 1, 1)).otherwise(both)))
+    dealt = dealt.withColumn("_g", F.col("_to.g")).withColumn("_copy", F.col("_to.copy"))
+    order = Window.partitionBy("_g").orderBy("_copy", F.col("_key").desc(), *columns)
+    dealt = dealt.withColumn("_next", F.lead(F.struct(*columns)).over(order))  # one window, so one shuffle
+    return dealt.where(F.col("_copy") == 0).select(*rows.columns, *[F.col(f"_next.{c}").alias(f"next_{c}") for c in columns])
 
 
 def fingerprint_documents(docs: DataFrame, *, k: int = K) -> DataFrame:
