@@ -146,10 +146,12 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def resampled(docs: DataFrame, **options) -> DataFrame:
-    """docs as the mix takes them: a row for each draw; where a draw takes a part, text ends after so many words, and n_chars (if there) is counted anew. A shuffle by (shard, place) is left to the writer."""
+    """docs as the mix takes them: a row for each draw; where a draw takes a part, text is its first so many words, a space between two, and n_chars (if there) is counted anew. A shuffle by (shard, place) is left to the writer."""
     drawn = mix(docs, words(F.col("text")), **options).withColumn("_draw", F.explode("_draws"))
     cut = F.col("_draw.words") < F.col("_size")
-    drawn = drawn.withColumn("text", F.when(cut, F.expr("regexp_extract(text, concat('^(?:[\\\\x20\\\\x09-\\\\x0D]*+[^\\\\x20\\\\x09-\\\\x0D]++){', cast(_draw.words AS string), '}'), 0)")).otherwise(F.col("text")))
+    own = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    part = F.array_join(F.slice(own, F.lit(1), F.col("_draw.words").cast("int")), " ")
+    drawn = drawn.withColumn("text", F.when(cut, part).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         drawn = drawn.withColumn("n_chars", F.when(cut, F.char_length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
     return drawn.select(*docs.columns)

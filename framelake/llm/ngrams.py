@@ -247,7 +247,10 @@ def train(training: DataFrame, *, ranges: int = RANGES) -> dict:
     folder = new_folder(spark, "model")
 
     def add_pairs(r: int, rows: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = [(WORDS, r, data) for kind, data in rows if kind == WORDS]  # they go on to the next step
+        out: list[tuple] = []
+        if own := [data for kind, data in rows if kind == WORDS]:  # added here, they go on to the next step
+            h, count = words_from(own)
+            out.append((WORDS, r, h.tobytes() + count.clip(0, 2**32 - 1).astype(np.uint32).tobytes()))
         if blobs := [data for kind, data in rows if kind == PAIRS]:
             first, second, count = pairs_from(blobs)
             begins = runs(first)
