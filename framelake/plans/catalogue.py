@@ -472,3 +472,39 @@ def perf_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT asset_id, stream_index, stream_type, len(l) AS n_frames, l[1] AS first_pts, l[len(l)] AS last_pts FROM r""")
 def decode_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binding.collapsed(frames(spark, sf_dir)).select("asset_id", "stream_index", "stream_type", "n_frames", F.element_at("pts_list", 1).alias("first_pts"), F.element_at("pts_list", -1).alias("last_pts"))
+
+
+@query("""WITH s AS (SELECT p_partkey, unnest([0, 1]) AS stream_index FROM part), p AS (SELECT * FROM part JOIN s USING (p_partkey))
+SELECT p_partkey, CAST(stream_index AS INTEGER) AS stream_index, CASE stream_index WHEN 0 THEN 'video' ELSE 'audio' END AS stream_type, CASE stream_index WHEN 0 THEN p_size * 40 END AS width, CASE stream_index WHEN 0 THEN p_size * 30 END AS height,
+  CASE stream_index WHEN 0 THEN round((p_partkey % 100 + 1) / (5000.0::DOUBLE / 1000), 9) END AS fps, CASE stream_index WHEN 1 THEN 8000 * CAST(p_partkey % 6 + 1 AS INTEGER) END AS sample_rate FROM p""")
+def mp4_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers built from part, and read again."""
+    import pyarrow as pa
+
+    from framelake.api import probe
+    from framelake.sources import headers
+
+    def build(batches):
+        for b in batches:
+            made = [headers.mp4(s * 40, s * 30, k % 100 + 1, 1000, 5000, 8000 * (k % 6 + 1), 2) for k, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array([str(k) for k in b.column(0).to_pylist()]), pa.array(made, pa.binary())], ["path", "content"])
+
+    files = table(spark, sf_dir, "part").select("p_partkey", "p_size").mapInArrow(build, "path string, content binary")
+    return probe(files).select(F.col("path").cast("long").alias("p_partkey"), "stream_index", "stream_type", "width", "height", F.round("fps", 9).alias("fps"), "sample_rate")
+
+
+@query(f"""WITH {VECTORS} SELECT vec_id, 4 AS width, 2 AS height, 1.0::DOUBLE AS fps FROM v""")
+def image_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A still image is one frame at a rate of one."""
+    import pyarrow as pa
+
+    from framelake.api import probe
+    from framelake.sources import headers
+
+    def build(batches):
+        for b in batches:
+            made = [headers.png(4, 2, bytes(max(0, min(255, int((x + 1) * 127.5))) for x in e[:24])) for e in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([str(k) for k in b.column(0).to_pylist()]), pa.array(made, pa.binary())], ["path", "content"])
+
+    files = vectors(spark, sf_dir).select("vec_id", "e").mapInArrow(build, "path string, content binary")
+    return probe(files).select(F.col("path").cast("long").alias("vec_id"), "width", "height", "fps")
