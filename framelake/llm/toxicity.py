@@ -227,19 +227,22 @@ def fit(texts_: list[str], toxic: np.ndarray, *, epochs: int = EPOCHS, seed: int
     usable = np.flatnonzero(end > begin)
     m, v, step = {k: np.zeros_like(x) for k, x in w.items()}, {k: np.zeros_like(x) for k, x in w.items()}, 0
     epochs = max(epochs, -(-LEAST_STEPS // -(-len(usable) // BATCH)))
+    highest = begin.copy()
     for epoch in range(epochs):
         order = rng.permutation(usable)
+        renew = epoch % max(1, epochs // 10) == 0  # the highest windows are found again ten times at most
         for k in range(0, len(order), BATCH * 8):
             part = order[k : k + BATCH * 8]
-            all_ = np.concatenate([np.arange(begin[i], end[i]) for i in part])
-            scored = logits(w, inputs(w, words), flat, first[all_], size[all_])
-            bounds = np.cumsum([0, *(end[part] - begin[part])])
-            best = np.array([a + int(np.argmax(scored[a:b])) for a, b in zip(bounds, bounds[1:])])
-            other = np.array([int(rng.integers(a, b)) for a, b in zip(bounds, bounds[1:])])
+            if renew:
+                all_ = np.concatenate([np.arange(begin[i], end[i]) for i in part])
+                scored = logits(w, inputs(w, words), flat, first[all_], size[all_])
+                bounds = np.cumsum([0, *(end[part] - begin[part])])
+                highest[part] = [begin[i] + int(np.argmax(scored[a:b])) for i, a, b in zip(part, bounds, bounds[1:])]
+            best, other = highest[part], rng.integers(begin[part], end[part])
             for j in range(0, len(part), BATCH):
                 some = slice(j, j + BATCH)
                 clean = toxic[part[some]] == 0
-                picked = all_[np.concatenate([best[some], other[some][clean]])]
+                picked = np.concatenate([best[some], other[some][clean]])
                 target = np.concatenate([toxic[part[some]], np.zeros(int(clean.sum()))]).astype(np.float32)
                 at, mask = gather(flat, first[picked], size[picked])
                 used, local = np.unique(at, return_inverse=True)
