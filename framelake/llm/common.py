@@ -63,7 +63,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it again: lineage ends here, so a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = new_folder(spark, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

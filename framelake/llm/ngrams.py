@@ -278,7 +278,7 @@ def train(training: DataFrame, *, ranges: int = RANGES) -> dict:
     schema = "kind int, r int, data binary"
     first_step = by_range(count_batches(training, ranges), ranges, add_pairs, schema)
     first_folder = new_folder(spark, "follows")
-    first_step.write.parquet(first_folder)
+    first_step.write.option("compression", "zstd").parquet(first_folder)
     step = spark.read.schema(schema).parquet(first_folder)
     words = by_range(step.where("kind < 10"), ranges, add_words, schema).where("kind >= 10")
     totals = words.union(step.where("kind >= 10")).groupBy("kind", "r").agg(F.sum(F.conv(F.hex("data"), 16, 10).cast("long")).alias("n"))
