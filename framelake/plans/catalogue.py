@@ -148,12 +148,13 @@ def hw_resize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts(spark, sf_dir).select("p_partkey", w.alias("out_width"), h.alias("out_height"))
 
 
-_DEVICE = F.when(F.col("p_partkey") % 7 == 0, "cuda").when(F.col("p_partkey") % 7 < 4, F.concat(F.lit("cuda:"), F.col("p_size").cast("string"))).when(F.col("p_partkey") % 7 == 4, F.concat(F.lit("gpu"), F.col("p_size").cast("string"))).when(F.col("p_partkey") % 7 == 5, "cuda:")
+def _device():
+    return F.when(F.col("p_partkey") % 7 == 0, "cuda").when(F.col("p_partkey") % 7 < 4, F.concat(F.lit("cuda:"), F.col("p_size").cast("string"))).when(F.col("p_partkey") % 7 == 4, F.concat(F.lit("gpu"), F.col("p_size").cast("string"))).when(F.col("p_partkey") % 7 == 5, "cuda:")
 
 
 @query("""SELECT p_partkey, CAST(CASE WHEN p_partkey % 7 = 0 THEN 0 WHEN p_partkey % 7 < 4 THEN p_size WHEN p_partkey % 7 < 6 THEN -1 END AS INTEGER) AS device FROM part""")
 def device_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", P.device_index(_DEVICE).alias("device"))
+    return table(spark, sf_dir, "part").select("p_partkey", P.device_index(_device()).alias("device"))
 
 
 @query(f"""WITH {PARTS} SELECT p_partkey, CASE WHEN hardware = false THEN 'device cannot be combined with hardware_acceleration=false' WHEN fps IS NOT NULL THEN 'fps is not supported on a device' WHEN dtype <> 'uint8' THEN 'dtype must be uint8'
