@@ -68,11 +68,11 @@ class Words:
         self.begin = np.cumsum(counts) - counts
 
     def mean(self, embedding: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(self.word), embedding.shape[1]), np.float32)
+        out = np.zeros((len(self.word), embedding.shape[1]), embedding.dtype)
         some = np.flatnonzero(np.diff(np.append(self.begin, len(self.grams))) > 0)
         if len(some):
             out[some] = np.add.reduceat(embedding[self.grams], self.begin[some], axis=0)
-        return out / self.count[:, None].astype(np.float32)
+        return out / self.count[:, None].astype(embedding.dtype)
 
 
 def read(texts_: list[str]) -> tuple[Words, np.ndarray, np.ndarray]:

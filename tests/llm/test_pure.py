@@ -36,7 +36,7 @@ def test_backtracking_is_merging():
 
 
 def test_secret_spans():
-    text = 'x PASSWORD : "abcdefgh" AKIA' + "B" * 12 + " token=short " + "0a" * 20 + " api-key=1234567890 AKIAZZ"
+    text = 'x PASSWORD : "abcdefgh" AKIA' + "B" * 12 + " token=short " + "0a" * 20 + " api_key=1234567890 AKIAZZ"
     spans = secrets.base_spans(text)
     assert [secrets.KINDS[k] for _, k, _ in spans] == ["assign", "access", "hex", "assign"]
     assert text[spans[0][0] : spans[0][2]] == 'PASSWORD : "abcdefgh' and text[spans[2][0] : spans[2][2]] == "0a" * 20
