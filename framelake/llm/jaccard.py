@@ -9,22 +9,25 @@ same members as another band's are dropped; a pair that shares several of the re
 bucket is dealt to blocks: each pair of blocks is a task of its own, of bounded size. So no pair is dropped, none is compared
 twice, and no pair is ever a row: a task returns each member's number of links and the forest of its links.
 
-Linked documents form a group, found by repeatedly passing on the smallest id.
+Linked classes form a group, found by repeatedly passing on the smallest class_id.
 
 Defined results: a null text counts as empty; texts without words (all of them) have the empty set and form one class; every row
-gets a result; rows of one id count as one document where links are counted, even if their texts differ; a null id is the lowest. Sets of any size are compared whole. An empty table gives an empty result. Other columns
+gets a result; rows that share an id, or have none, are told apart by their sets: only texts decide classes, links and groups; a null
+id is the lowest. Of several classes with the same least id, the first by set_id is called by it and each other one by a
+number that is no row's id. Sets of any size are compared whole. An empty table gives an empty result. Other columns
 are never read by the join; deduplicate() keeps them as they are.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framelake.llm.common import batches_of, materialize, table, texts
@@ -91,7 +94,7 @@ def minima(s: np.ndarray, seeds: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, bands: int, rows: int, n: int) -> DataFrame:
-    """(doc_id, set_id, bands array<long>) of each row; set_id: 128 bits of the set, in hex; bands: empty for the empty set."""
+    """(doc_id, text_md5, set_id, bands array<long>) of each row; set_id: 128 bits of the set, in hex; bands: empty for the empty set."""
     seeds = mixed(np.arange(1, bands * rows + 1, dtype=np.uint64) * MIX) | np.uint64(1)
     salt = mixed(np.arange(1, bands + 1, dtype=np.uint64))
 
@@ -110,9 +113,11 @@ def signatures(docs: DataFrame, bands: int, rows: int, n: int) -> DataFrame:
                         signed.append(x.view(np.int64))
                     else:
                         signed.append(np.empty(0, np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.string()), pa.array(signed, pa.list_(pa.int64()))], ["doc_id", "set_id", "bands"])
+                digests = [hashlib.md5(text).hexdigest() for text in held]
+                arrays = [pa.array(ids, pa.int64()), pa.array(digests, pa.string()), pa.array(sets, pa.string()), pa.array(signed, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_md5", "set_id", "bands"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, set_id string, bands array<long>")
+    return texts(docs).mapInArrow(run, "doc_id long, text_md5 string, set_id string, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
@@ -207,7 +212,7 @@ def compare(ids: np.ndarray, keys: np.ndarray, grams: list[bytes], weights: np.n
 
 
 def verified(members: DataFrame, threshold: float) -> DataFrame:
-    """members: (task, side, band, rep, n_copies, kept, grams), all rows of a task in one partition, in order. Returns (rep, links, root)."""
+    """members: (task, side, band, class_id, n_copies, kept, grams), all rows of a task in one partition, in order. Returns (class_id, links, root)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -227,7 +232,7 @@ def verified(members: DataFrame, threshold: float) -> DataFrame:
             held.clear()
 
         def flush() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["rep", "links", "root"])
+            batch = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["class_id", "links", "root"])
             for x in out:
                 x.clear()
             return batch
@@ -236,14 +241,14 @@ def verified(members: DataFrame, threshold: float) -> DataFrame:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if held and held[0][0] != row[0]:
                     settle()
-                if not held or held[-1][1] != row[1] or held[-1][3] != row[3]:  # rows of one id and text come one after another
+                if not held or held[-1][1] != row[1] or held[-1][3] != row[3]:  # rows of one class come one after another
                     held.append(row)
             if out[0]:
                 yield flush()
         settle()
         yield flush()
 
-    return members.select("task", "side", "band", "rep", "n_copies", "kept", "grams").mapInArrow(run, "rep long, links long, root long")
+    return members.select("task", "side", "band", "class_id", "n_copies", "kept", "grams").mapInArrow(run, "class_id long, links long, root long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -266,48 +271,82 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
 
 
-def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS, n: int = SHINGLE) -> DataFrame:
-    """(doc_id, set_id, class_id, group_id, n_copies, n_links) of each row of docs.
+def id_or_lowest(doc_id: str) -> Column:
+    return F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID))
+
 
-    class_id: the least id of documents with an equal set; n_copies: how many rows have it; n_links: rows of other classes at the threshold or above; group_id: the least id that links reach.
+def with_class_ids(classes: DataFrame) -> DataFrame:
+    """classes: (set_id, rep, high, ...), a row each. Adds class_id: rep for the first class by set_id of those with this rep, for each other one a number of its own that no row has as id.
+
+    The others are counted in the order of set_id: by its first three digits, so that no task sees all of them.
     """
+    others = classes.groupBy("rep").agg(F.count("*").alias("n"), F.min("set_id").alias("first")).where("n > 1")
+    others = classes.select("set_id", "rep").join(others, "rep").where("set_id <> first").select("set_id", F.substring("set_id", 1, 3).alias("digits"))
+    others = materialize(others, "others")
+    before = F.coalesce(F.sum("n").over(Window.orderBy("digits").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = others.groupBy("digits").agg(F.count("*").alias("n")).select("digits", before.alias("before"))
+    lowest, highest = classes.agg(F.min(F.when(F.col("rep") > NO_ID, F.col("rep"))), F.max("high")).first()
+    n = others.count()
+    base = NO_ID if lowest is None or NO_ID + n < lowest else highest
+    if base + n >= 2**63:
+        raise ValueError("the ids leave no numbers at either end for classes with the same least id")
+    numbered = others.join(starts, "digits").select("set_id", (F.lit(base) + F.col("before") + F.row_number().over(Window.partitionBy("digits").orderBy("set_id"))).alias("own"))
+    return classes.join(numbered, "set_id", "left").withColumn("class_id", F.coalesce("own", "rep")).drop("own", "high")
+
+
+def grouped(docs: DataFrame, threshold: float, recall: float, rows: int, n: int) -> DataFrame:
+    """(doc_id, text_md5, set_id, class_id, group_id, n_copies, n_links) of each row of docs."""
     bands = bands_for(threshold, recall, rows)
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
     signed = materialize(signatures(docs, bands, rows, n), "signatures")
-    classes = signed.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.first("bands").alias("bands"))
-    classes = materialize(classes, "classes")
-    banded = classes.select("set_id", "rep", F.posexplode("bands").alias("band", "bucket"))
+    id_ = id_or_lowest("doc_id")
+    classes = signed.groupBy("set_id").agg(F.min(id_).alias("rep"), F.max(id_).alias("high"), F.count("*").alias("n_copies"), F.first("bands").alias("bands"))
+    classes = materialize(with_class_ids(materialize(classes, "classes")), "classes")
+    banded = classes.select("set_id", "class_id", F.posexplode("bands").alias("band", "bucket"))
     # Buckets with the same members as another keep one of them.
-    buckets = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("low"), F.expr("bit_xor(xxhash64(set_id))").alias("who"), F.min("band").alias("band")).where("n > 1")
+    buckets = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("class_id").alias("low"), F.expr("bit_xor(xxhash64(set_id))").alias("who"), F.min("band").alias("band")).where("n > 1")
     kept = buckets.groupBy("n", "low", "who").agg(F.min(F.struct("band", "bucket")).alias("b")).select("n", "b.bucket")
     kept = materialize(kept, "buckets")
-    of_class = banded.join(kept, "bucket").groupBy("set_id").agg(F.min("rep").alias("rep"), F.map_from_entries(F.collect_list(F.struct("band", "bucket"))).alias("by_band"), F.collect_list(F.struct("band", "bucket", "n")).alias("in"))
-    of_class = of_class.select("set_id", "rep", F.expr(f"transform(sequence(0, {bands - 1}), i -> coalesce(element_at(by_band, i), 0L))").alias("kept"), "in")
-    of_class = of_class.join(classes.select("set_id", "n_copies"), "set_id")
-    sets = shingle_sets(docs, n).select(F.col("set_id").alias("s"), F.col("doc_id").alias("d"), "grams")
-    wanted = of_class.join(sets, (F.col("set_id") == F.col("s")) & (F.col("rep") == F.col("d"))).select("set_id", "rep", "n_copies", "kept", "in", "grams")
-    placed = wanted.withColumn("i", F.explode("in")).select("set_id", "rep", "n_copies", "kept", "grams", "i.*")
+    of_class = banded.join(kept, "bucket").groupBy("set_id").agg(F.map_from_entries(F.collect_list(F.struct("band", "bucket"))).alias("by_band"), F.collect_list(F.struct("band", "bucket", "n")).alias("in"))
+    of_class = of_class.select("set_id", F.expr(f"transform(sequence(0, {bands - 1}), i -> coalesce(element_at(by_band, i), 0L))").alias("kept"), "in")
+    of_class = of_class.join(classes.select("set_id", "rep", "class_id", "n_copies"), "set_id")
+    sets = shingle_sets(docs, n).select(F.col("set_id").alias("s"), id_or_lowest("doc_id").alias("d"), "grams")
+    wanted = of_class.join(sets, (F.col("set_id") == F.col("s")) & (F.col("rep") == F.col("d"))).select("set_id", "class_id", "n_copies", "kept", "in", "grams")
+    placed = wanted.withColumn("i", F.explode("in")).select("set_id", "class_id", "n_copies", "kept", "grams", "i.*")
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / (2 * BLOCK))).cast("int")
     placed = placed.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     task = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
-    tasks = placed.withColumn("task", task).withColumn("side", side).select("task", "side", "band", "rep", "n_copies", "kept", "grams")
-    tasks = tasks.repartition(F.col("task")).sortWithinPartitions("task", "side", "rep")
+    tasks = placed.withColumn("task", task).withColumn("side", side).select("task", "side", "band", "class_id", "n_copies", "kept", "grams")
+    tasks = tasks.repartition(F.col("task")).sortWithinPartitions("task", "side", "class_id")
     found = materialize(verified(tasks, threshold), "found")
-    groups = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    links = found.groupBy("rep").agg(F.sum("links").alias("n_links"))
-    of = classes.select("set_id", "rep", "n_copies").join(links, "rep", "left").join(groups, F.col("rep") == F.col("node"), "left")
-    of = of.select("set_id", F.col("rep").alias("class_id"), F.coalesce("root", "rep").alias("group_id"), "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return signed.select("doc_id", "set_id").join(of, "set_id").select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "set_id", "class_id", "group_id", "n_copies", "n_links")
-
-
-def deduplicate(docs: DataFrame, **options) -> DataFrame:
-    """One row of docs of each group: that of the least id (of rows of one id, the one whose text sorts first)."""
-    numbered = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
-    found = near_duplicates(docs, **options).where(F.coalesce("doc_id", F.lit(NO_ID)) == F.col("group_id")).select(F.col("group_id").alias("_kept")).distinct()
-    first = Window.partitionBy("_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
-    return numbered.join(found, F.col("_id") == F.col("_kept"), "left_semi").withColumn("_row", F.row_number().over(first)).where("_row = 1").select(*docs.columns)
+    groups = components(found.select(F.col("class_id").alias("a"), F.col("root").alias("b")))
+    links = found.groupBy("class_id").agg(F.sum("links").alias("n_links"))
+    of = classes.select("set_id", "rep", "class_id", "n_copies").join(links, "class_id", "left").join(groups, F.col("class_id") == F.col("node"), "left")
+    of = materialize(of.withColumn("root", F.coalesce("root", "class_id")).select("set_id", "rep", "class_id", "root", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "groups")
+    named = of.groupBy("root").agg(F.min(F.struct("rep", "set_id", "class_id"))["class_id"].alias("group_id"))
+    return signed.select("doc_id", "text_md5", "set_id").join(of.join(named, "root"), "set_id").select("doc_id", "text_md5", "set_id", "class_id", "group_id", "n_copies", "n_links")
+
+
+def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS, n: int = SHINGLE) -> DataFrame:
+    """(doc_id, set_id, class_id, group_id, n_copies, n_links) of each row of docs.
+
+    class_id: the least id of documents with an equal set (a number of its own where another class has this id); n_copies: how many rows have the set; n_links: rows of other classes at the
+    threshold or above; group_id: the class_id of the class of least id that links reach.
+    """
+    return grouped(docs, threshold, recall, rows, n).drop("text_md5")
+
+
+def deduplicate(docs: DataFrame, *, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS, n: int = SHINGLE) -> DataFrame:
+    """One row of docs of each group: that of the least id (of rows of one id in a group, the one whose text sorts first)."""
+    found = grouped(docs, threshold, recall, rows, n).select("group_id", id_or_lowest("doc_id").alias("id"), "text_md5").distinct()
+    found = materialize(found, "members")
+    least = found.groupBy("group_id").agg(F.min("id").alias("id"))
+    kept = found.join(least, ["group_id", "id"])
+    order = ["text", *[c for c in docs.columns if c not in ("doc_id", "text")], "doc_id"]
+    whole = docs.select(id_or_lowest("doc_id").alias("id"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"), F.struct(*order).alias("row"))
+    first = whole.join(kept, ["id", "text_md5"]).groupBy("group_id").agg(F.min("row").alias("row"))
+    return first.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

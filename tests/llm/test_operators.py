@@ -112,6 +112,36 @@ def test_jaccard(hard, empty, docs):
     assert kept.count() == groups
 
 
+def test_jaccard_tells_rows_without_own_ids_apart(spark, hard):
+    long = [f"{t} {t}" for t in LETTERS if len(t.split()) >= 30][:6]
+    near = [" ".join(w if k else "other" for k, w in enumerate(t.split())) for t in long]
+    more = [(None, long[0]), (None, near[0]), (None, long[1]), (None, long[1]), (50, long[2]), (50, long[3]), (50, near[3]), (49, near[2]), (51, near[2] + " end")]
+    for table in (hard.select("doc_id", "text"), spark.createDataFrame(more, "doc_id long, text string").repartition(3), hard.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))):
+        rows = table.collect()
+        by_set = Counter(shingles(r.text) for r in rows)
+        sets, links = list(by_set), Counter()
+        group = {s: {s} for s in sets}
+        for i, a in enumerate(sets):
+            for b in sets[i + 1 :]:
+                if a and b and len(a & b) >= 0.8 * len(a | b):
+                    links[a] += by_set[b]
+                    links[b] += by_set[a]
+                    both = group[a] | group[b]
+                    group.update((s, both) for s in both)
+        names, kept = {}, Counter()
+        found = jaccard.near_duplicates(table).collect()
+        for r in rows:
+            s = shingles(r.text)
+            names.setdefault(frozenset(group[s]), []).append((r.doc_id, s, r.text))
+        for members in names.values():
+            kept[min((i if i is not None else jaccard.NO_ID, t or "") for i, _, t in members)] += 1
+        assert len({r.class_id for r in found}) == len(by_set) and len({r.group_id for r in found}) == len(names)
+        expected = sorted((str(r.doc_id), by_set[s], links[s], sum(by_set[x] for x in group[s])) for r in rows for s in [shingles(r.text)])
+        in_group = Counter(r.group_id for r in found)
+        assert sorted((str(r.doc_id), r.n_copies, r.n_links, in_group[r.group_id]) for r in found) == expected
+        assert Counter((r.doc_id if r.doc_id is not None else jaccard.NO_ID, r.text or "") for r in jaccard.deduplicate(table).collect()) == kept
+
+
 def test_jaccard_blocks(hard, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 1)
     monkeypatch.setattr(jaccard, "COLUMNS", 7)
