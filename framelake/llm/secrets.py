@@ -1,8 +1,10 @@
 """Secrets in texts: fixed forms, and random strings that a tokenizer can't compress.
 
 Words of a language fall into few tokens of a vocabulary that was learnt from text; random characters don't. A run of 16 or
-more key characters is taken as random if it has few characters a token (2.0 or fewer). Runs that are known digests (hex of a
-usual digest's length), UUIDs, or that hold digits alone are left out, as are runs that lie within a span found by form.
+more key characters is taken as random if it has few characters a token (2.0 or fewer). A run that isn't as a whole is judged
+by its segments between / _ - +: one of 16 or more characters, or neighbours with as many together that begin and end with a random
+one; so words joined to a secret don't hide it. Those that meet are one span. Runs and segments that are known digests (hex of a
+usual digest's length), UUIDs, or that hold digits alone are left out, as are those that lie within a span found by form.
 
 Kinds, in the order in which spans of one start are listed: assign (a named value), access (an access key id), hex (a long run
 of hex digits), random (by token efficiency). A span is the whole match, in code points, its end exclusive.
@@ -35,11 +37,13 @@ NAMES = ("passw", "secret", "token", "key")  # each name of ASSIGN holds one
 ACCESS = re.compile("AKIA[A-Z0-9]+")
 HEX = re.compile("[0-9a-f]{32,}")
 CANDIDATE = re.compile("[A-Za-z0-9+/_-]{16,}={0,2}")
+SEGMENT = re.compile("[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}(?![A-Za-z0-9])|[A-Za-z0-9=]+")
 UUID = re.compile("[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 HEX_RUN = re.compile("[0-9a-f]+|[0-9A-F]+")
 DIGESTS = {32, 40, 56, 64, 96, 128}
 MIXED = re.compile("(?=.*[0-9])(?=.*[A-Za-z])|[a-z][A-Z].*[a-z][A-Z]")
 CHARS_PER_TOKEN = 2.0
+SHORTEST = 16
 
 Span = tuple[int, int, int]  # start, kind, end
 _encodings: dict[str, tiktoken.Encoding] = {}
@@ -61,6 +65,33 @@ def known(run: str) -> bool:
     return bool(HEX_RUN.fullmatch(run) and len(run) in DIGESTS or UUID.fullmatch(run))
 
 
+def random_segments(run: str, encoding: tiktoken.Encoding, chars_per_token: float) -> list[tuple[int, int]]:
+    """(start, end) of a run's random parts: neighbouring segments, judged by their own characters and tokens, the signs between them left out.
+
+    Any such neighbours of twice SHORTEST characters or more hold fewer ones that are random, so each start is tried up to these alone.
+    """
+    parts: list[tuple[int, int, int] | None] = []  # None: nothing goes across
+    for m in SEGMENT.finditer(run):
+        parts.append(None if known(m.group()) else (*m.span(), len(encoding.encode_ordinary(m.group()))))
+    found: list[tuple[int, int]] = []
+    for i, first in enumerate(parts):
+        if first is None or first[1] - first[0] > chars_per_token * first[2]:
+            continue
+        chars = tokens = 0
+        for j in range(i, len(parts)):
+            part = parts[j]
+            if part is None or chars >= 2 * SHORTEST:
+                break
+            a, b, n = part
+            chars, tokens = chars + b - a, tokens + n
+            if chars >= SHORTEST and b - a <= chars_per_token * n and chars <= chars_per_token * tokens and MIXED.search(run[first[0] : b]):
+                if found and first[0] <= found[-1][1]:
+                    found[-1] = (found[-1][0], max(b, found[-1][1]))
+                else:
+                    found.append((first[0], b))
+    return found
+
+
 def random_spans(text: str, taken: list[Span], encoding: tiktoken.Encoding, chars_per_token: float = CHARS_PER_TOKEN) -> list[Span]:
     found: list[Span] = []
     for m in CANDIDATE.finditer(text):
@@ -69,6 +100,11 @@ def random_spans(text: str, taken: list[Span], encoding: tiktoken.Encoding, char
             continue
         if len(run) <= chars_per_token * len(encoding.encode_ordinary(run)):
             found.append((m.start(), 3, m.end()))
+            continue
+        for a, b in random_segments(run, encoding, chars_per_token):
+            a, b = a + m.start(), b + m.start()
+            if not any(x <= a and b <= y for x, _, y in taken):
+                found.append((a, 3, b))
     return found
 
 

@@ -301,6 +301,17 @@ def test_secrets_and_bpe(spark, hard, empty):
     assert bpe.encode_documents(hard, bpe.vocabulary_path()).count() == hard.count() and bpe.encode_documents(empty, bpe.vocabulary_path()).count() == 0
 
 
+def test_secrets_joined_to_words(spark):
+    path, r = secrets.vocabulary_path(), random.Random(3)
+    bare = ["".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=24)) for _ in range(200)]
+    words = ["/usr/local/share/documents/archive/backup/", "prod_database_connection_primary_", "hooks/services/notification/production/"]
+    rows = [(i, f"see {w}{x}/archive for more") for i, (x, w) in enumerate((x, w) for x in bare for w in words)]
+    found = {r.doc_id: r.text for r in secrets.redact(spark.createDataFrame(rows, "doc_id long, text string"), path).collect()}
+    assert not [t for i, t in rows if t[t.rindex("/") - 24 : t.rindex("/")] in found[i]]
+    plain = [(0, words[0] + "index_of_documents_in_2024"), (1, words[0] + "123e4567-e89b-12d3-a456-426614174000/information")]
+    assert [x.n_random for x in secrets.scan(spark.createDataFrame(plain, "doc_id long, text string"), path).collect()] == [0, 0]
+
+
 def test_nearest_neighbours(spark):
     r = random.Random(8)
     rows = [(i, [r.gauss(0, 1) for _ in range(8)], i % 3) for i in range(230)]
