@@ -31,8 +31,8 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: a row for each time, cut where it takes a part."""
-    return mixing.resampled(docs)
+    """Documents as often as the mix takes them: a row for each time, with its whole text."""
+    return mixing.resampled(docs, whole=True)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 A source's documents stand in a fixed random order (by a hash of seed and id), as one stream of words. What the mix takes of a
 source, rounded down to whole words, is that many words of the stream: whole passes over it, then the beginning of one more
 pass. So the sum is exact, no document is taken more often than the next full pass, and one document a source at most is cut.
+With whole, none is: of up to CHOICE documents around the end of the partial pass, those are taken whose sizes bring the source nearest to its target.
 
 The taken stream is divided into blocks of block_words words (a document belongs to the block in which it starts), and blocks are
 dealt to output shards by a splitting tree: a node knows how many blocks of each source it holds; its left child gets its share
@@ -21,7 +22,7 @@ result. Columns of the input are kept where mix() gets them; its own begin with
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from framelake.llm.common import materialize, table
@@ -33,6 +34,10 @@ MOST = 2  # times its size that a source is taken
 BLOCK_WORDS = 4096
 SHARDS = 16
 BUCKETS = 1024
+#: Documents of a source among which the end of a pass is chosen where all are taken whole: all of their 2 ** CHOICE subsets are tried.
+CHOICE = 12
+#: The share of its target by which a source may be moved so that the sum of all is near.
+CLOSE = 0.02
 #: A prime number above any block's rank times which the ranks of a source's blocks are permuted.
 STRIDE = 2_147_483_647
 
@@ -109,11 +114,43 @@ def shard_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     return counts.select("source", F.expr("transform(sequence(1, size(q)), j -> aggregate(slice(q, 1, j), 0L, (s, x) -> s + x))").alias("ends"))
 
 
-def mix(docs: DataFrame, size: Column, *, share: float = SHARE, most: int = MOST, shards: int = SHARDS, block_words: int = BLOCK_WORDS, buckets: int = BUCKETS, seed: int = SEED) -> DataFrame:
-    """docs with _size, _source_size, _target and _draws: an array of (pass, words, shard, place) for each time that the mix takes words of the row; words below _size: the first so many."""
+def choices(keyed: DataFrame, starts: DataFrame, own: WindowSpec) -> DataFrame:
+    """(_c, _near, _took) of each source whose partial pass ends within a document: the starts of up to CHOICE documents around that end, and of those among them that are taken.
+
+    The nearest ones are found by bucket first, so that no task sees a whole source.
+    """
+    placed = keyed.where("_size > 0").withColumn("_start", F.coalesce(F.sum("_size").over(own), F.lit(0)))
+    ends = starts.where("_rest > 0").select("_s", "_b", "_before", "_rest", "target")
+    placed = placed.join(ends, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b"))).withColumn("_start", F.col("_start") + F.col("_before"))
+    cut = (F.col("_start") < F.col("_rest")) & (F.col("_start") + F.col("_size") > F.col("_rest"))
+    placed = placed.withColumn("_far", F.when(cut, -1).otherwise(F.abs(F.col("_start") - F.col("_rest")))).select("source", "_bucket", "_rest", "target", "_start", "_size", "_far")
+    for keys in (["source", "_bucket"], ["source"]):
+        placed = placed.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy("_far", "_start"))).where(F.col("_rank") <= CHOICE)
+    near = placed.groupBy("source", "_rest", "target").agg(F.array_sort(F.collect_list(F.struct("_start", "_size"))).alias("n"), F.min(F.when(F.col("_far") == -1, F.col("_start"))).alias("fit")).where("fit IS NOT NULL")
+    # fit words are in documents before the cut one; those of them that aren't near are taken in any case.
+    left = "_rest - (fit - aggregate(n, 0L, (s, d) -> s + if(d._start < fit, d._size, 0L)))"
+    near = near.withColumn("_left", F.expr(left)).withColumn("sums", F.expr("aggregate(n, array(0L), (s, d) -> concat(s, transform(s, x -> x + d._size)))"))
+    options = "transform(sums, (x, i) -> named_struct('off', abs(x - _left), 'i', i, 'x', x))"
+    near = near.withColumn("under", F.expr(f"array_min(filter({options}, o -> o.x <= _left))")).withColumn("over", F.expr(f"array_min(filter({options}, o -> o.x >= _left))")).drop("sums")
+    # The nearest one; where that leaves the sum of all sources off, those go to the other side for which this changes least.
+    over, gap, all_ = F.col("over.off") < F.col("under.off"), F.col("under.off") + F.col("over.off"), Window.partitionBy()
+    off = F.sum(F.when(F.col("is_over"), F.col("over.off")).otherwise(-F.col("under.off"))).over(all_)
+    near = near.withColumn("is_over", over).withColumn("off", off).withColumn("gap", gap)
+    near = near.withColumn("may", (F.col("gap") <= CLOSE * F.col("target")) & F.when(F.col("is_over"), F.col("off") > 0).otherwise(F.col("off") < 0))
+    by_gap = Window.partitionBy("may").orderBy("gap", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    other = F.col("may") & (F.sum("gap").over(by_gap) - F.col("gap") / 2 <= F.abs("off"))
+    best = near.withColumn("best", F.when(F.col("is_over") != other, F.col("over.i")).otherwise(F.col("under.i")))
+    return best.select(F.col("source").alias("_c"), F.expr("n._start").alias("_near"), F.expr("transform(filter(n, (d, k) -> shiftright(best, k) % 2 = 1), d -> d._start)").alias("_took"))
+
+
+def mix(docs: DataFrame, size: Column, *, share: float = SHARE, most: int = MOST, shards: int = SHARDS, block_words: int = BLOCK_WORDS, buckets: int = BUCKETS, seed: int = SEED, whole: bool = False) -> DataFrame:
+    """docs with _size, _source_size, _target and _draws: an array of (pass, words, shard, place) for each time that the mix takes words of the row; words below _size: the first so many (never with whole)."""
     keyed = docs.withColumn("_size", size).withColumn("_hash", F.xxhash64(F.lit(seed), F.col("doc_id").cast("string")))
     keyed = keyed.withColumn("_bucket", F.pmod(F.shiftrightunsigned("_hash", 20), F.lit(buckets)).cast("int"))
-    sums = materialize(keyed.groupBy("source", "_bucket").agg(F.sum("_size").alias("_sum")), "mix")
+    keyed = keyed.withColumn("_tie", F.md5(F.col("text").cast("binary")) if "text" in docs.columns else F.lit(""))
+    narrow = keyed.select("doc_id", "source", "_size", "_hash", "_bucket", "_tie")
+    narrow = materialize(narrow, "mix") if whole else narrow
+    sums = materialize(narrow.groupBy("source", "_bucket").agg(F.sum("_size").alias("_sum")), "mix")
     aimed = targets(sums.groupBy("source").agg(F.sum("_sum").alias("source_size")), share=share, most=most)
     passes = F.when(F.col("source_size") > 0, F.floor(F.floor("target") / F.col("source_size"))).otherwise(0).cast("long")
     blocks = lambda n: F.ceil(n / F.lit(block_words)).cast("long")
@@ -126,13 +163,18 @@ def mix(docs: DataFrame, size: Column, *, share: float = SHARE, most: int = MOST
     starts = sums.withColumn("_before", before).alias("s").join(both.alias("a"), F.col("s.source").eqNullSafe(F.col("a.source")))
     starts = starts.select("s.source", F.col("s._bucket").alias("_b"), "_before", "source_size", "target", "_passes", "_rest", "_per_pass", "blocks", "ends")
     starts = materialize(starts.withColumnRenamed("source", "_s"), "mix")
-    own = Window.partitionBy("source", "_bucket").orderBy("_hash", "doc_id", *["text"] * ("text" in docs.columns), "_size").rowsBetween(Window.unboundedPreceding, -1)
+    own = Window.partitionBy("source", "_bucket").orderBy("_hash", "doc_id", "_tie", "_size").rowsBetween(Window.unboundedPreceding, -1)
+    chosen = materialize(choices(narrow, starts, own), "mix") if whole else None
+    if chosen is None:
+        starts = starts.withColumn("_near", F.expr("cast(NULL AS array<bigint>)")).withColumn("_took", F.col("_near"))
+    else:
+        starts = starts.join(chosen, F.col("_s").eqNullSafe(F.col("_c")), "left").drop("_c")
     placed = keyed.withColumn("_start", F.coalesce(F.sum("_size").over(own), F.lit(0)))
     placed = placed.join(starts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b"))).withColumn("_start", F.col("_start") + F.col("_before"))
     draws = (
-        "filter(transform(sequence(0L, _passes), p -> transform(array(p * _per_pass + _start div {b}), j -> transform(array(pmod(pmod(j, greatest(blocks, 1)) * {stride} + _s_off, greatest(blocks, 1))), r ->"
-        " named_struct('pass', p, 'words', if(p < _passes, _size, greatest(0L, least(_size, _rest - _start))), 'shard', size(filter(ends, e -> e <= r)), 'place', xxhash64(_hash, p)))[0])[0]), d -> d.words > 0)"
-    ).format(b=block_words, stride=STRIDE)
+        "filter(transform(sequence(0L, _passes), p -> transform(array(p * _per_pass + if(p < _passes, _start, least(_start, greatest(0L, _rest - 1))) div {b}), j -> transform(array(pmod(pmod(j, greatest(blocks, 1)) * {stride} + _s_off, greatest(blocks, 1))), r ->"
+        " named_struct('pass', p, 'words', if(p < _passes, _size, {part}), 'shard', size(filter(ends, e -> e <= r)), 'place', xxhash64(_hash, p)))[0])[0]), d -> d.words > 0)"
+    ).format(b=block_words, stride=STRIDE, part="CASE WHEN _near IS NULL THEN greatest(0L, least(_size, _rest - _start)) WHEN if(array_contains(_near, _start), array_contains(_took, _start), _start < _rest) THEN _size ELSE 0L END")
     out = placed.withColumn("_s_off", F.pmod(F.coalesce(F.xxhash64("source", F.lit(seed)), F.lit(0)), F.lit(1_000_003))).withColumn("_draws", F.expr(draws))
     return out.select(*docs.columns, "_size", F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), "_draws")
 
@@ -146,7 +188,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def resampled(docs: DataFrame, **options) -> DataFrame:
-    """docs as the mix takes them: a row for each draw; where a draw takes a part, text is its first so many words, a space between two, and n_chars (if there) is counted anew. A shuffle by (shard, place) is left to the writer."""
+    """docs as the mix takes them: a row for each draw, with whole=True as it is; without, where a draw takes a part, text is its first so many words, a space between two, and n_chars (if there) is counted anew. A shuffle by (shard, place) is left to the writer."""
     drawn = mix(docs, words(F.col("text")), **options).withColumn("_draw", F.explode("_draws"))
     cut = F.col("_draw.words") < F.col("_size")
     own = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")

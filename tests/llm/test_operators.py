@@ -224,6 +224,28 @@ def test_mixing(spark, hard, empty, docs):
     assert mixing.resampled(empty).count() == 0
 
 
+def test_mixing_whole(spark, hard, empty):
+    import corpus_pipeline
+
+    r = random.Random(9)
+    many = [(i, "\n".join("w" * r.randint(1, 5) for _ in range(r.randint(1, 90))), "en", f"s{i % 3}", 1, 0.0, False, 1) for i in range(150)]
+    single = [(i, "one\ntext  of\tits own source " + "more " * i, "en", f"only{i}", 1, 0.0, False, 1) for i in range(30)]
+    for rows, near in ((hard.collect(), None), (many, 3), (single, None)):
+        table = spark.createDataFrame(rows, SCHEMA).repartition(3)
+        size, most, sizes = Counter(), Counter((i, t) for i, t, *_ in rows), Counter()
+        found = corpus_pipeline.mixed(spark, table, "").collect()
+        for i, t, _, s, *_ in rows:
+            sizes[s] += len((t or "").encode().split())
+        got = Counter((x.doc_id, x.text) for x in found)
+        assert all(n <= 2 * most[x] for x, n in got.items())  # a text that is cut isn't among the rows'
+        for x in found:
+            size[x.source] += len(x.text.encode().split())
+        for s, t in targets_of(dict(sizes)).items():
+            longest = max(len((x[1] or "").encode().split()) for x in rows if x[3] == s)
+            assert abs(size[s] - t) <= (longest / 2 + 1 if near is None else near)
+    assert corpus_pipeline.mixed(spark, empty, "").count() == 0
+
+
 def test_quotas_are_split_exactly(spark):
     quotas = spark.createDataFrame([("a", 1000), ("b", 37), (None, 12), ("c", 0)], "source string, blocks long")
     found = {r.source: r.ends for r in mixing.shard_quotas(quotas, 6, 1).collect()}
