@@ -6,6 +6,9 @@ longest token that an Aho-Corasick automaton finds at the current place; where t
 tries the token's longest proper prefix that is a token, then its next one; where none fits, it drops the last token and
 marks the place as a dead end, so that no place is left twice by the same way and the time is linear in the word.
 
+A worker holds a bounded part of its batch: texts are taken by their bytes, and a long one is encoded and decoded in pieces that
+end before white space, which no token spans; its digests are made piece by piece.
+
 Defined results: a null text counts as empty; an empty text has no tokens, and its decoded text is empty; a text of any
 length is encoded whole, word by word; strings of the vocabulary's special tokens in a text become these tokens. Rows are
 independent of one another, so repeated rows give repeated results, and an empty table gives an empty result. Other
@@ -27,11 +30,15 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from framelake.llm.common import table, texts
+from framelake.llm.common import slices_of, table, texts
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-#: Pieces of text whose tokens a worker remembers, in each of two generations.
-REMEMBERED = 400_000
+#: Pieces of text whose tokens a worker remembers, in each of two generations, and compatible pairs of tokens.
+REMEMBERED = 50_000
+PAIRS = 200_000
+#: Bytes of texts whose results a worker holds at once, and characters of a text that it encodes at once.
+HELD_BYTES = 1 << 20
+PIECE = 1 << 18
 END = "</w>"
 
 
@@ -117,7 +124,7 @@ class Encoder:
         key = left << 20 | right
         known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) >= 500_000:
+            if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
             known = self.pairs[key] = self._compatible(left, right)
         return known
@@ -250,6 +257,7 @@ class Words(dict):
         return x
 
 
+SPACE = re.compile("[\t\n\r ]")
 _encoders: dict[str, Encoder] = {}
 
 
@@ -258,37 +266,67 @@ def load(path: str) -> WordVocabulary:
         return WordVocabulary(json.load(f))
 
 
-def encode_documents(docs: DataFrame, path: str, *, with_ids: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids array<int>, decoded string]) of each row of docs.
+def pieces_of(text: str, size: int = PIECE) -> Iterator[str]:
+    """text in parts of about size characters, each but the first from white space on; a run without white space stays whole."""
+    at = 0
+    while len(text) - at > size:
+        cut = max(text.rfind(" ", at, at + size), text.rfind("\n", at, at + size))
+        if cut <= at:
+            found = SPACE.search(text, at + size)
+            if not found:
+                break
+            cut = found.start()
+        yield text[at:cut]
+        at = cut
+    yield text[at:]
+
+
+def encode_documents(docs: DataFrame, path: str, *, with_ids: bool = False, with_text: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids array<int>][, decoded string]) of each row of docs.
 
     The vocabulary is read on the driver at path and sent to the workers: a size that the vocabulary fixes, about 2 MB.
     """
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(load(path))
-    schema = SCHEMA + (", ids array<int>, decoded string" if with_ids else "")
+    schema = SCHEMA + ", ids array<int>" * with_ids + ", decoded string" * with_text
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoders.get(path)
         if encoder is None:
             encoder = _encoders[path] = Encoder(sent.value)
         for batch in rows:
-            columns: list[list] = [[], [], []]
-            more: list[list] = [[], []]
-            for text in batch.column(1).to_pylist():
-                raw = encoder.encode(text)
-                ids = np.frombuffer(raw, np.uint32).astype(np.int64)
-                decoded = encoder.decode(ids)
-                for column, x in zip(columns, (len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(decoded).hexdigest())):
-                    column.append(x)
+            for part in slices_of(batch, 1, HELD_BYTES):
+                yield settle(encoder, part)
+
+    def settle(encoder: Encoder, part: pa.RecordBatch) -> pa.RecordBatch:
+        counts, of_ids, of_text = [], [], []
+        kept, spelled = [], []
+        for text in part.column(1).to_pylist():
+            n, ids_digest, text_digest, own = 0, hashlib.sha256(), hashlib.sha256(), []
+            for piece in pieces_of(text):
+                raw = encoder.encode(piece)
+                decoded = encoder.decode(np.frombuffer(raw, np.uint32).astype(np.int64))
+                if n and decoded:
+                    decoded = b" " + decoded
+                n += len(raw) // 4
+                ids_digest.update(raw)
+                text_digest.update(decoded)
                 if with_ids:
-                    more[0].append(ids)
-                    more[1].append(decoded.decode("utf-8", "replace"))
-            arrays = [batch.column(0), pa.array(columns[0], pa.int64()), *(pa.array(x, pa.string()) for x in columns[1:])]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if with_ids:
-                arrays += [pa.array(more[0], pa.list_(pa.int32())), pa.array(more[1], pa.string())]
-                names += ["ids", "decoded"]
-            yield pa.RecordBatch.from_arrays(arrays, names)
+                    kept.append(raw)
+                if with_text:
+                    own.append(decoded)
+            counts.append(n)
+            of_ids.append(ids_digest.hexdigest())
+            of_text.append(text_digest.hexdigest())
+            if with_text:
+                spelled.append(b"".join(own).decode("utf-8", "replace"))
+        columns = {"doc_id": part.column(0), "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(of_ids, pa.string()), "decoded_sha256": pa.array(of_text, pa.string())}
+        if with_ids:
+            ids = pa.Array.from_buffers(pa.int32(), sum(counts), [None, pa.py_buffer(b"".join(kept))])
+            columns["ids"] = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]), pa.int32()), ids)
+        if with_text:
+            columns["decoded"] = pa.array(spelled, pa.string())
+        return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     return texts(docs).mapInArrow(run, schema)
 

@@ -7,7 +7,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,19 +69,29 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def slices_of(batch: pa.RecordBatch, column: int | str, limit: int) -> Iterator[pa.RecordBatch]:
+    """batch in parts, without a copy, whose strings in column have about limit bytes together; a longer one comes alone."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    begin = 0
+    while begin < len(ends):
+        end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + limit, side="right")))
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
 def batches_of(rows: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Iterator[tuple[list[int], list[bytes]]]:
     """(doc_ids, UTF-8 texts) of about limit bytes; a longer text comes alone."""
     ids: list[int] = []
     held: list[bytes] = []
     size = 0
     for batch in rows:
-        at_id, at_text = batch.schema.get_field_index("doc_id"), batch.schema.get_field_index("text")
-        for i, t in zip(batch.column(at_id).to_pylist(), batch.column(at_text).cast(pa.large_binary()).to_pylist()):
-            if held and size + len(t) > limit:
-                yield ids, held
-                ids, held, size = [], [], 0
-            ids.append(i)
-            held.append(t)
-            size += len(t)
+        for part in slices_of(batch.select(["doc_id", "text"]), "text", limit):
+            for i, t in zip(part.column(0).to_pylist(), part.column(1).cast(pa.large_binary()).to_pylist()):
+                if held and size + len(t) > limit:
+                    yield ids, held
+                    ids, held, size = [], [], 0
+                ids.append(i)
+                held.append(t)
+                size += len(t)
     if held:
         yield ids, held
