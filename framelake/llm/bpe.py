@@ -30,7 +30,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from framelake.llm.common import slices_of, table, texts
+from framelake.llm.common import release, slices_of, table, texts
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Pieces of text whose tokens a worker remembers, in each of two generations, and compatible pairs of tokens.
@@ -297,6 +297,7 @@ def encode_documents(docs: DataFrame, path: str, *, with_ids: bool = False, with
         for batch in rows:
             for part in slices_of(batch, 1, HELD_BYTES):
                 yield settle(encoder, part)
+        release()
 
     def settle(encoder: Encoder, part: pa.RecordBatch) -> pa.RecordBatch:
         counts, of_ids, of_text = [], [], []

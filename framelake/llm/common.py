@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -79,6 +80,14 @@ def slices_of(batch: pa.RecordBatch, column: int | str, limit: int) -> Iterator[
         begin = end
 
 
+def release() -> None:
+    """Give back to the system what a worker has freed: it is used again by later tasks, which may need its memory elsewhere."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the GNU C library alone has it
+    if trim:
+        trim(0)
+
+
 def batches_of(rows: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Iterator[tuple[list[int], list[bytes]]]:
     """(doc_ids, UTF-8 texts) of about limit bytes; a longer text comes alone."""
     ids: list[int] = []

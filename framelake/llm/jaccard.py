@@ -5,9 +5,10 @@ texts are candidates if all minima of a band agree. Bands and rows are chosen so
 the target recall. Texts with equal sets form a class, which is compared once.
 
 Candidates meet by a shuffle on band hashes, and their full sets are compared there. To move few sets, buckets that hold the
-same members as another band's are dropped; a pair that shares several of the rest is compared in the first one alone. A large
-bucket is dealt to blocks: each pair of blocks is a task of its own, of bounded size. So no pair is dropped, none is compared
-twice, and no pair is ever a row: a task returns each member's number of links and the forest of its links.
+same members as another band's are dropped; a pair that shares several of the rest is compared in the first one alone; and only
+texts that share a bucket are cut to n-grams again. A large bucket (by its members, or by their n-grams) is dealt to blocks: each
+pair of blocks is a task of its own, of bounded size. So no pair is dropped, none is compared twice, and no pair is ever a row: a
+task returns each member's number of links and the forest of its links.
 
 Linked classes form a group, found by repeatedly passing on the smallest class_id.
 
@@ -30,15 +31,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from framelake.llm.common import batches_of, materialize, table, texts
+from framelake.llm.common import CHUNK_BYTES, batches_of, materialize, release, slices_of, table, texts
 
 SHINGLE = 5
 THRESHOLD = 0.8
 RECALL = 0.9999
 ROWS = 5
-#: Members of a bucket that a task compares with one another, and distinct n-grams that it holds as columns of a matrix at once.
+#: Members of a bucket that a task compares with one another, n-grams of theirs, and distinct n-grams that it holds as columns of a matrix at once.
 BLOCK = 512
+BLOCK_GRAMS = 1_000_000
 COLUMNS = 4096
+#: Words whose hashes a worker remembers.
+REMEMBERED = 100_000
 #: Stands for a null id: the lowest.
 NO_ID = -(2**63)
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -60,7 +64,7 @@ class WordHashes(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 300_000:
+        if len(self) >= REMEMBERED:
             self.clear()
         x = self[word] = xxhash.xxh3_64_intdigest(word)
         return x
@@ -94,16 +98,17 @@ def minima(s: np.ndarray, seeds: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, bands: int, rows: int, n: int) -> DataFrame:
-    """(doc_id, text_md5, set_id, bands array<long>) of each row; set_id: 128 bits of the set, in hex; bands: empty for the empty set."""
+    """(doc_id, text_md5, set_id, n_grams, bands array<long>) of each row; set_id: 128 bits of the set, in hex; bands: empty for the empty set."""
     seeds = mixed(np.arange(1, bands * rows + 1, dtype=np.uint64) * MIX) | np.uint64(1)
     salt = mixed(np.arange(1, bands + 1, dtype=np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for ids, held in batches_of(batches):
-                sets, signed = [], []
+                sets, sizes, signed = [], [], []
                 for text in held:
                     s = shingle_set(text, n)
+                    sizes.append(len(s))
                     sets.append(xxhash.xxh3_128_hexdigest(s.tobytes()))
                     if len(s):
                         least = minima(s, seeds).reshape(bands, rows)
@@ -114,34 +119,38 @@ def signatures(docs: DataFrame, bands: int, rows: int, n: int) -> DataFrame:
                     else:
                         signed.append(np.empty(0, np.int64))
                 digests = [hashlib.md5(text).hexdigest() for text in held]
-                arrays = [pa.array(ids, pa.int64()), pa.array(digests, pa.string()), pa.array(sets, pa.string()), pa.array(signed, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_md5", "set_id", "bands"])
+                arrays = [pa.array(ids, pa.int64()), pa.array(digests, pa.string()), pa.array(sets, pa.string()), pa.array(sizes, pa.int64()), pa.array(signed, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_md5", "set_id", "n_grams", "bands"])
+            _hashes.clear()
+            release()
 
-    return texts(docs).mapInArrow(run, "doc_id long, text_md5 string, set_id string, bands array<long>")
+    return texts(docs).mapInArrow(run, "doc_id long, text_md5 string, set_id string, n_grams long, bands array<long>")
 
 
-def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
-    """(set_id, grams binary): 32 bits of each distinct n-gram hash, ascending.
-
-    Cut to 32 bits, two n-grams of a pair of texts agree by chance with a probability of 1 to 4 billion; the set_id is made of all bits.
-    """
+def with_grams(rows: DataFrame, n: int) -> DataFrame:
+    """rows (set_id, text, ...) with grams in the place of text: the text's distinct n-gram hashes, ascending. Rows whose text hasn't the set set_id go."""
+    other = [f.name for f in rows.schema if f.name != "text"]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "text") + ", grams binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
-            for ids, held in batches_of(batches):
-                sets = [shingle_set(text, n) for text in held]
-                names = [xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets]
-                grams = [np.unique((s >> np.uint64(32)).astype(np.uint32)).tobytes() for s in sets]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(names, pa.string()), pa.array(grams, pa.binary())], ["doc_id", "set_id", "grams"])
+            for batch in batches:
+                for part in slices_of(batch, "text", CHUNK_BYTES):
+                    sets = [shingle_set(t, n) for t in part.column("text").cast(pa.large_binary()).to_pylist()]
+                    own = [xxhash.xxh3_128_hexdigest(s.tobytes()) == name for s, name in zip(sets, part.column("set_id").to_pylist())]
+                    out = part.select(other).append_column("grams", pa.array([s.tobytes() for s in sets], pa.binary()))
+                    yield out.filter(pa.array(own, pa.bool_()))
+            _hashes.clear()
+            release()
 
-    return texts(docs).mapInArrow(run, "doc_id long, set_id string, grams binary")
+    return rows.select(*other, "text").mapInArrow(run, schema)
 
 
 def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """Sizes of the intersections of each set of left with each of right, by products of 0/1 matrices over the values that both sides hold."""
-    of_left, of_right = (np.concatenate(x) if x else np.empty(0, np.uint32) for x in (left, right))
+    of_left, of_right = (np.concatenate(x) if x else np.empty(0, np.uint64) for x in (left, right))
     values = np.intersect1d(np.unique(of_left), np.unique(of_right), assume_unique=True)
-    out = np.zeros((len(left), len(right)), np.float32)
+    out = np.zeros((len(left), len(right)))
     if not len(values):
         return out
     sides = []
@@ -181,8 +190,8 @@ def compare(ids: np.ndarray, keys: np.ndarray, grams: list[bytes], weights: np.n
 
     keys: each member's kept buckets by band, 0 where none; the first column is the task's own bucket's band. side: 0 and 1 where blocks differ, all 2 within one.
     """
-    sets = [np.frombuffer(g, np.uint32) for g in grams]
-    sizes = np.array([len(s) for s in sets], np.float32)
+    sets = [np.frombuffer(g, np.uint64) for g in grams]
+    sizes = np.array([len(s) for s in sets], float)
     left, right = (np.flatnonzero(side != 1), np.flatnonzero(side != 0))
     links = np.zeros(len(ids), np.int64)
     found_a, found_b = [], []
@@ -192,14 +201,10 @@ def compare(ids: np.ndarray, keys: np.ndarray, grams: list[bytes], weights: np.n
             if side[a[0]] == 2 and b[-1] < a[0]:
                 continue
             both = shared_counts([sets[x] for x in a], [sets[x] for x in b])
-            near = both >= np.float32(threshold) * (sizes[a][:, None] + sizes[b][None, :] - both) - 1e-3
-            p, q = np.nonzero(near)
+            p, q = np.nonzero(both >= threshold * (sizes[a][:, None] + sizes[b][None, :] - both) - 1e-9)
             p, q = a[p], b[q]
             if side[a[0]] == 2:
                 p, q = p[p < q], q[p < q]
-            n = np.rint(both[np.searchsorted(a, p), np.searchsorted(b, q)])
-            exact = n * 1.0 >= threshold * (sizes[p].astype(float) + sizes[q] - n) - 1e-9
-            p, q = p[exact], q[exact]
             earlier = ((keys[p, 1:] == keys[q, 1:]) & (keys[p, 1:] != 0)).any(axis=1) if len(p) else np.zeros(0, bool)
             p, q = p[~earlier], q[~earlier]
             np.add.at(links, p, weights[q])
@@ -247,6 +252,7 @@ def verified(members: DataFrame, threshold: float) -> DataFrame:
                 yield flush()
         settle()
         yield flush()
+        release()
 
     return members.select("task", "side", "band", "class_id", "n_copies", "kept", "grams").mapInArrow(run, "class_id long, links long, root long")
 
@@ -299,21 +305,24 @@ def grouped(docs: DataFrame, threshold: float, recall: float, rows: int, n: int)
     bands = bands_for(threshold, recall, rows)
     signed = materialize(signatures(docs, bands, rows, n), "signatures")
     id_ = id_or_lowest("doc_id")
-    classes = signed.groupBy("set_id").agg(F.min(id_).alias("rep"), F.max(id_).alias("high"), F.count("*").alias("n_copies"), F.first("bands").alias("bands"))
+    first = F.min(F.struct(id_.alias("rep"), "text_md5"))
+    classes = signed.groupBy("set_id").agg(first.alias("first"), F.max(id_).alias("high"), F.count("*").alias("n_copies"), F.max("n_grams").alias("n_grams"), F.first("bands").alias("bands"))
+    classes = classes.select("set_id", "first.*", "high", "n_copies", "n_grams", "bands")
     classes = materialize(with_class_ids(materialize(classes, "classes")), "classes")
-    banded = classes.select("set_id", "class_id", F.posexplode("bands").alias("band", "bucket"))
+    banded = classes.select("set_id", "class_id", "n_grams", F.posexplode("bands").alias("band", "bucket"))
     # Buckets with the same members as another keep one of them.
-    buckets = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("class_id").alias("low"), F.expr("bit_xor(xxhash64(set_id))").alias("who"), F.min("band").alias("band")).where("n > 1")
-    kept = buckets.groupBy("n", "low", "who").agg(F.min(F.struct("band", "bucket")).alias("b")).select("n", "b.bucket")
+    members = F.expr("bit_xor(xxhash64(set_id))")
+    buckets = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("n_grams").alias("all_grams"), F.min("class_id").alias("low"), members.alias("who"), F.min("band").alias("band")).where("n > 1")
+    kept = buckets.groupBy("n", "all_grams", "low", "who").agg(F.min(F.struct("band", "bucket")).alias("b")).select("n", "all_grams", "b.bucket")
     kept = materialize(kept, "buckets")
-    of_class = banded.join(kept, "bucket").groupBy("set_id").agg(F.map_from_entries(F.collect_list(F.struct("band", "bucket"))).alias("by_band"), F.collect_list(F.struct("band", "bucket", "n")).alias("in"))
+    of_class = banded.join(kept, "bucket").groupBy("set_id").agg(F.map_from_entries(F.collect_list(F.struct("band", "bucket"))).alias("by_band"), F.collect_list(F.struct("band", "bucket", "n", "all_grams")).alias("in"))
     of_class = of_class.select("set_id", F.expr(f"transform(sequence(0, {bands - 1}), i -> coalesce(element_at(by_band, i), 0L))").alias("kept"), "in")
-    of_class = of_class.join(classes.select("set_id", "rep", "class_id", "n_copies"), "set_id")
-    sets = shingle_sets(docs, n).select(F.col("set_id").alias("s"), id_or_lowest("doc_id").alias("d"), "grams")
-    wanted = of_class.join(sets, (F.col("set_id") == F.col("s")) & (F.col("rep") == F.col("d"))).select("set_id", "class_id", "n_copies", "kept", "in", "grams")
-    placed = wanted.withColumn("i", F.explode("in")).select("set_id", "class_id", "n_copies", "kept", "grams", "i.*")
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / (2 * BLOCK))).cast("int")
-    placed = placed.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
+    of_class = of_class.join(classes.select("set_id", "rep", "text_md5", "class_id", "n_copies"), "set_id")
+    own_text = texts(docs).select(id_or_lowest("doc_id").alias("d"), F.md5(F.col("text").cast("binary")).alias("digest"), "text")
+    wanted = of_class.join(own_text, (F.col("rep") == F.col("d")) & (F.col("text_md5") == F.col("digest"))).select("set_id", "class_id", "n_copies", "kept", "in", "text")
+    placed = with_grams(wanted, n).withColumn("i", F.explode("in")).select("set_id", "class_id", "n_copies", "kept", "grams", "i.*")
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / (2 * BLOCK)), F.ceil(F.col("all_grams") / (2 * BLOCK_GRAMS))).cast("int")
+    placed = placed.withColumn("blocks", F.least(blocks, F.col("n").cast("int"))).withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     task = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)

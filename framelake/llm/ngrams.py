@@ -40,6 +40,8 @@ RANGES = 64
 #: Bytes of text whose pairs a worker counts before it sends them, and that it scores at once.
 COUNTED_BYTES = 12 << 20
 SCORED_BYTES = 4 << 20
+#: Words whose hashes a worker remembers.
+REMEMBERED = 200_000
 K1, K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 END, START = 0x1B873593CC9E2D51, 0x52DCE729DA3ED7A5
 #: The arrays of a range's files, after the hashes: words (count, words before), first words (sum, pairs of count 1, 2, more), pairs (count).
@@ -50,7 +52,7 @@ class TokenHashes(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 300_000:
+        if len(self) >= REMEMBERED:
             self.clear()
         x = xxhash.xxh3_64_intdigest(word)
         if len(word) < 100:

@@ -19,7 +19,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 import pyarrow as pa
@@ -28,7 +30,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm.common import table, texts
+from framelake.llm.common import slices_of, table, texts
 
 KINDS = ("assign", "access", "hex", "random")
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string"
@@ -41,8 +43,10 @@ SEGMENT = re.compile("[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}(?![A-
 UUID = re.compile("[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 HEX_RUN = re.compile("[0-9a-f]+|[0-9A-F]+")
 DIGESTS = {32, 40, 56, 64, 96, 128}
-MIXED = re.compile("(?=.*[0-9])(?=.*[A-Za-z])|[a-z][A-Z].*[a-z][A-Z]")
+DIGIT, LETTER, HUMP = re.compile("[0-9]"), re.compile("[A-Za-z]"), re.compile("[a-z][A-Z]")
 CHARS_PER_TOKEN = 2.0
+#: Bytes of texts whose results a worker holds at once.
+SCANNED_BYTES = 4 << 20
 SHORTEST = 16
 
 Span = tuple[int, int, int]  # start, kind, end
@@ -65,6 +69,26 @@ def known(run: str) -> bool:
     return bool(HEX_RUN.fullmatch(run) and len(run) in DIGESTS or UUID.fullmatch(run))
 
 
+def mixed(run: str) -> bool:
+    """Digits beside letters, or capitals twice within words."""
+    if DIGIT.search(run):
+        return bool(LETTER.search(run))
+    first = HUMP.search(run)
+    return bool(first and HUMP.search(run, first.end()))
+
+
+class Cover:
+    """Tells whether one of some spans holds a given range, in the logarithm of their number."""
+
+    def __init__(self, spans: list[Span]):
+        self.starts = [a for a, _, _ in spans]
+        self.ends = list(accumulate((b for _, _, b in spans), max))
+
+    def holds(self, a: int, b: int) -> bool:
+        k = bisect_right(self.starts, a)
+        return k > 0 and self.ends[k - 1] >= b
+
+
 def random_segments(run: str, encoding: tiktoken.Encoding, chars_per_token: float) -> list[tuple[int, int]]:
     """(start, end) of a run's random parts: neighbouring segments, judged by their own characters and tokens, the signs between them left out.
 
@@ -84,7 +108,7 @@ def random_segments(run: str, encoding: tiktoken.Encoding, chars_per_token: floa
                 break
             a, b, n = part
             chars, tokens = chars + b - a, tokens + n
-            if chars >= SHORTEST and b - a <= chars_per_token * n and chars <= chars_per_token * tokens and MIXED.search(run[first[0] : b]):
+            if chars >= SHORTEST and b - a <= chars_per_token * n and chars <= chars_per_token * tokens and mixed(run[first[0] : b]):
                 if found and first[0] <= found[-1][1]:
                     found[-1] = (found[-1][0], max(b, found[-1][1]))
                 else:
@@ -94,16 +118,17 @@ def random_segments(run: str, encoding: tiktoken.Encoding, chars_per_token: floa
 
 def random_spans(text: str, taken: list[Span], encoding: tiktoken.Encoding, chars_per_token: float = CHARS_PER_TOKEN) -> list[Span]:
     found: list[Span] = []
+    cover = Cover(sorted(taken))
     for m in CANDIDATE.finditer(text):
         run = m.group()
-        if not MIXED.search(run) or known(run) or any(a <= m.start() and m.end() <= b for a, _, b in taken):
+        if not mixed(run) or known(run) or cover.holds(*m.span()):
             continue
         if len(run) <= chars_per_token * len(encoding.encode_ordinary(run)):
             found.append((m.start(), 3, m.end()))
             continue
         for a, b in random_segments(run, encoding, chars_per_token):
             a, b = a + m.start(), b + m.start()
-            if not any(x <= a and b <= y for x, _, y in taken):
+            if not cover.holds(a, b):
                 found.append((a, 3, b))
     return found
 
@@ -139,17 +164,18 @@ def scan(docs: DataFrame, path: str, *, chars_per_token: float = CHARS_PER_TOKEN
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = encoding_of(path, sent)
-        for batch in rows:
-            counts: list[list[int]] = [[], [], [], []]
-            digests, lists = [], []
-            for text in batch.column(1).to_pylist():
-                base, spans = all_spans(text, encoding, chars_per_token)
-                for k in range(4):
-                    counts[k].append(sum(x[1] == k for x in spans))
-                digests.append(hashlib.sha256(listed(base).encode()).hexdigest())
-                lists.append(listed(spans))
-            arrays = [batch.column(0), *(pa.array(x, pa.int64()) for x in counts), pa.array(digests, pa.string()), pa.array(lists, pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_assign", "n_access", "n_hex", "n_random", "base_sha256", "spans"])
+        for whole in rows:
+            for batch in slices_of(whole, 1, SCANNED_BYTES):
+                counts: list[list[int]] = [[], [], [], []]
+                digests, lists = [], []
+                for text in batch.column(1).to_pylist():
+                    base, spans = all_spans(text, encoding, chars_per_token)
+                    for k in range(4):
+                        counts[k].append(sum(x[1] == k for x in spans))
+                    digests.append(hashlib.sha256(listed(base).encode()).hexdigest())
+                    lists.append(listed(spans))
+                arrays = [batch.column(0), *(pa.array(x, pa.int64()) for x in counts), pa.array(digests, pa.string()), pa.array(lists, pa.string())]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_assign", "n_access", "n_hex", "n_random", "base_sha256", "spans"])
 
     return texts(docs).mapInArrow(run, SCHEMA)
 

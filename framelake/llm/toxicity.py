@@ -9,8 +9,8 @@ all windows of the whole text are scored.
 Labels tell of whole texts. In training, each text is scored with the present weights, and learns at its highest window (and one of
 the others, if it isn't toxic). The first component of each embedding starts from the log odds of its hash in the sample.
 
-The network is fitted on the driver, on at most SAMPLE labelled texts of each class of at most LONGEST characters: those least by a
-hash of their id. The weights, of a fixed size, are sent to the workers.
+The network is fitted on the driver, on at most SAMPLE labelled texts of each class, of SAMPLE_CHARS characters together at most:
+those least by a hash of their id, each whole, up to the first that goes beyond. The weights, of a fixed size, are sent to the workers.
 
 Defined results: a null text counts as empty; a text without words has the score 0; if the sample lacks a class, the score of any text
 is 0 (no toxic one) or 1 (toxic ones alone); repeated rows give repeated results; labels that are null or of unknown ids aren't used. Texts of any length are scored whole. An
@@ -25,13 +25,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framelake.llm.common import batches_of, table, texts
 
 SAMPLE = 3000
-LONGEST = 5000
+SAMPLE_CHARS = 8_000_000
 WINDOW, STRIDE = 24, 12
 HIDDEN, WORD_DIMS, CHAR_DIMS = 8, 8, 8
 BUCKETS = 1 << 14
@@ -285,13 +285,18 @@ def remainder(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("null"))) % 3
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, longest: int = LONGEST) -> Weights | float:
-    """Fits on at most sample labelled texts of each class whose remainder isn't 1."""
-    usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL").where(remainder(F.col("doc_id")) != 1)
-    picked = [usable.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * sample) for y in (0, 1)]
-    drawn = F.broadcast(picked[0].union(picked[1]).groupBy("doc_id").agg(F.max("toxic").alias("toxic")))  # 4 * sample rows at most
-    found = texts(docs).where(F.char_length("text").between(1, longest)).join(drawn, "doc_id")
-    rows = [r for y in (0, 1) for r in found.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).collect()]
+def learn(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> Weights | float:
+    """Fits on labelled texts whose remainder isn't 1: of each class at most sample, and at most sample_chars characters but for the first text."""
+    usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(remainder(F.col("doc_id")) != 1)
+    plain = texts(docs)
+    known = plain.where("text <> ''").select("doc_id").distinct()
+    once = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).join(known, "doc_id", "left_semi")
+    picked = [once.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for y in (0, 1)]
+    drawn = F.broadcast(picked[0].union(picked[1]))  # 2 * sample rows at most
+    found = plain.where("text <> ''").join(drawn, "doc_id").withColumn("order", F.xxhash64("doc_id"))
+    in_class = Window.partitionBy("toxic").orderBy("order", "doc_id", "text")
+    sized = found.select("toxic", "order", "doc_id", "text", F.row_number().over(in_class).alias("nth"), F.sum(F.char_length("text").cast("long")).over(in_class.rowsBetween(Window.unboundedPreceding, 0)).alias("chars"))
+    rows = sized.where(f"nth = 1 OR nth <= {sample} AND chars <= {sample_chars}").orderBy("toxic", "nth").collect()
     return fit([r["text"] for r in rows], np.array([r["toxic"] for r in rows], np.int64))
 
 

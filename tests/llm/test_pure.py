@@ -89,7 +89,7 @@ def test_nearest_is_exact():
 
 def test_shared_counts_and_roots():
     rng = random.Random(4)
-    sets = [np.unique(np.array(rng.choices(range(50), k=rng.randint(0, 30)), np.uint32)) for _ in range(20)]
+    sets = [np.unique(np.array(rng.choices(range(50), k=rng.randint(0, 30)), np.uint64)) for _ in range(20)]
     expected = [[len(set(a.tolist()) & set(b.tolist())) for b in sets[5:]] for a in sets[:5]]
     assert jaccard.shared_counts(sets[:5], sets[5:]).tolist() == expected
     assert jaccard.roots(6, np.array([5, 4, 1]), np.array([4, 3, 0])).tolist() == [0, 0, 2, 3, 3, 3]
