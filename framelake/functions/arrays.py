@@ -42,15 +42,25 @@ def unpadded(a: Column, rows: int, stride: int, used: int) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(rows - 1)), lambda r: F.slice(a, r * stride + 1, used)))
 
 
-def halved(a: Column, height: int, width: int) -> Column:
-    """Area mean of two by two."""
-    w = width // 2
+def padded(a: Column, rows: int, used: int, stride: int) -> Column:
+    """The inverse of unpadded: zeros after each row."""
+    pad = F.array_repeat(F.lit(0.0), stride - used)
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(rows - 1)), lambda r: F.concat(F.slice(a, r * used + 1, used), pad)))
 
-    def mean(i: Column) -> Column:
-        corner = (F.floor(i / w) * 2 * width + (i % w) * 2).cast("int")
-        return (F.get(a, corner) + F.get(a, corner + 1) + F.get(a, corner + width) + F.get(a, corner + width + 1)) / 4
 
-    return F.transform(F.sequence(F.lit(0), F.lit(height // 2 * w - 1)), mean)
+def area_scaled(a: Column, height: int, width: int, to_height: int, to_width: int) -> Column:
+    """One plane by area: each output pixel is the mean of the source pixels below it, by the area on which they meet."""
+    down, across = height / to_height, width / to_width
+
+    def share(place: Column, scale: float, source: Column) -> Column:
+        return F.greatest(F.lit(0.0), F.least((place + 1) * scale, source + 1) - F.greatest(place * scale, source)) / scale
+
+    def pixel(i: Column) -> Column:
+        y, x = F.floor(i / to_width).cast("double"), (i % to_width).cast("double")
+        parts = F.transform(F.sequence(F.lit(0), F.lit(height * width - 1)), lambda j: F.get(a, j) * share(y, down, F.floor(j / width).cast("double")) * share(x, across, (j % width).cast("double")))
+        return F.aggregate(parts, F.lit(0.0), lambda s, p: s + p)
+
+    return F.transform(F.sequence(F.lit(0), F.lit(to_height * to_width - 1)), pixel)
 
 
 def to_bytes(a: Column) -> Column:
@@ -113,6 +123,23 @@ def hlg_to_linear(v: Column) -> Column:
     return F.when(v <= 0.5, v * v / 3).otherwise((F.exp((v - c) / a) + b) / 12)
 
 
+#: Linear light of BT.2020 primaries to BT.709 (ITU-R BT.2087).
+TO_709 = ((1.6605, -0.5876, -0.0728), (-0.1246, 1.1329, -0.0083), (-0.0182, -0.1006, 1.1187))
+
+
+def to_709(light: Column) -> Column:
+    """The transfer curve of BT.709."""
+    return F.when(light < 0.018, light * 4.5).otherwise(1.099 * F.pow(light, F.lit(0.45)) - 0.099)
+
+
+def hdr_to_sdr(rgb: tuple[Column, Column, Column], hlg: Column, white: float = 100.0, peak: float = 10.0) -> tuple[Column, ...]:
+    """Signals of 0 to 1 (PQ, or HLG) with BT.2020 primaries, as signals of BT.709: linear light of which white is 1, the curve on the largest component, the other primaries, and the other transfer."""
+    light = [F.when(hlg, hlg_to_linear(x) * (1000.0 / white)).otherwise(pq_to_linear(x) * (10000.0 / white)) for x in rgb]
+    top = F.greatest(*light, F.lit(1e-6))
+    mapped = [x * (tone_mapped(top, peak) / top) for x in light]
+    return tuple(clamp(to_709(F.greatest(F.lit(0.0), sum((x * w for x, w in zip(mapped, row)), F.lit(0.0)))), 0.0, 1.0) for row in TO_709)
+
+
 def l1(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
 

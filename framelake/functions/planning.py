@@ -14,6 +14,7 @@ HDR_PRIMARIES = "bt2020"
 UNSET_COLOR = ("unknown", "unspecified")
 MAX_BYTES = 16 << 30
 TONE_MAP_CHAIN = "zscale=t=linear:npl=100,format=gbrpf32le,tonemap=hable:desat=0,zscale=p=bt709:t=bt709:m=bt709:range=tv"
+LAYOUTS = ("mono", "stereo", "2.1", "4.0", "5.0", "5.1", "6.1", "7.1")
 LOUDNESS_OPTIONS = ("I", "LRA", "TP", "measured_I", "measured_LRA", "measured_TP", "measured_thresh", "offset", "linear", "dual_mono")
 
 
@@ -23,13 +24,16 @@ def route(uri: Column) -> Column:
 
 
 def scheme(uri: Column) -> Column:
-    """The scheme before ://, 'file' if there is none."""
-    found = F.regexp_extract(uri, "^([A-Za-z][A-Za-z0-9+.-]*)://", 1)
-    return F.when(found == "", "file").otherwise(F.lower(found))
+    """The protocol that would open a uri: the name before its first colon, without what is nested after a plus; 'file' if there is none. One protocol has options between its name and the colon."""
+    name = F.regexp_extract(uri, "^([A-Za-z0-9.-]+)(?:\\+[A-Za-z0-9+.-]*)?:", 1)
+    return F.when(uri.rlike("^subfile,[^:]*:"), "subfile").when(name == "", "file").otherwise(name)
 
 
 def allowed(uri: Column) -> Column:
-    return scheme(uri).isin(*PROTOCOLS)
+    """Whether a uri may be opened: by its protocol, and for one that opens another uri itself (crypto), by that one's."""
+    own = scheme(uri).isin(*PROTOCOLS)
+    rest = F.regexp_replace(uri, "^(?:crypto[+:])+", "")
+    return own & scheme(rest).isin(*PROTOCOLS)
 
 
 def bucket(uri: Column) -> Column:
@@ -155,3 +159,8 @@ def loudness_spec(options: dict[str, Column]) -> Column:
 def audio_spec(loudness: Column, rate: Column) -> Column:
     spec = F.concat_ws(",", loudness, F.concat(F.lit("aresample="), rate.cast("string")))
     return F.when(spec == "", "anull").otherwise(spec)
+
+
+def channel_layout(channels: Column) -> Column:
+    """The default layout of a number of channels, where a stream tells none; null where there is none."""
+    return F.when(channels.between(1, len(LAYOUTS)), F.element_at(F.array(*map(F.lit, LAYOUTS)), channels.cast("int")))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,11 +19,10 @@ def block_loudness(energy: Column) -> Column:
 
 
 def gated_loudness(blocks: DataFrame, keys: list[str], energy: str = "energy") -> DataFrame:
-    """Loudness of blocks of energy above both gates: an absolute one, and one relative to the mean of what passes the first."""
-    each = blocks.withColumn("_l", F.when(F.col(energy) > 0, block_loudness(F.col(energy))))
-    loud = each.where(F.col("_l") > ABSOLUTE_GATE)
-    gate = block_loudness(F.avg(energy).over(Window.partitionBy(*keys))) + RELATIVE_GATE
-    passed = loud.withColumn("_gate", gate).where(F.col("_l") > F.col("_gate"))
+    """Loudness of blocks of energy above both gates: an absolute one, and one relative to the mean of what passes the first. The gate is a row a key, so no key's blocks meet in one task."""
+    loud = blocks.withColumn("_l", F.when(F.col(energy) > 0, block_loudness(F.col(energy)))).where(F.col("_l") > ABSOLUTE_GATE)
+    gates = loud.groupBy(*keys).agg((block_loudness(F.avg(energy)) + RELATIVE_GATE).alias("_gate"))
+    passed = loud.join(gates, keys).where(F.col("_l") > F.col("_gate"))
     return passed.groupBy(*keys).agg(block_loudness(F.avg(energy)).alias("loudness"), F.count("*").alias("n_blocks"))
 
 
@@ -38,10 +41,26 @@ def appended(parts: DataFrame, keys: list[str], order: list[str], samples: str,
     return placed.where(F.col("offset") < capacity).withColumn(samples, F.slice(samples, F.lit(1), F.least(F.size(samples), room)))
 
 
-def channels(parts: DataFrame, samples: str, n: int) -> DataFrame:
-    """Interleaved samples as rows (channel, place, sample)."""
-    each = parts.select("*", F.posexplode(samples).alias("_i", "sample"))
-    return each.withColumn("channel", (F.col("_i") % n).cast("int")).withColumn("place", F.floor(F.col("_i") / n).cast("long")).drop("_i", samples)
+def channels(samples: Column, n: int) -> Column:
+    """Interleaved samples as an array of each channel's, within the row; an incomplete last group is cut."""
+    count = F.floor(F.size(samples) / n).cast("int")
+    places = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+    one = lambda c: F.transform(places, lambda i: F.get(samples, i * n + c))
+    return F.array(*[one(c) for c in range(n)])
+
+
+def kernel_rows(rows: DataFrame, samples: str, kernel, schema: str) -> DataFrame:
+    """Each row's array through a numpy kernel, which returns the other columns; Arrow batches, a row at a time."""
+    key = next(c for c in rows.columns if c != samples)
+    names = [x.split(" ")[0] for x in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [kernel(np.array(x, np.float64)) for x in b.column(samples).to_pylist()]
+            columns = [pa.array([f[k] if isinstance(f, tuple) else f for f in found]) for k in range(len(names))]
+            yield pa.RecordBatch.from_arrays([b.column(key), *columns], [key, *names])
+
+    return rows.select(key, samples).mapInArrow(run, f"{key} {dict(rows.dtypes)[key]}, {schema}")
 
 
 def concatenated(parts: DataFrame, keys: list[str], order: str, samples: str) -> DataFrame:

@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 
 def difference(pairs: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:
-    """Elementwise, up to the shorter length: mean and largest absolute difference, and the share of those above 2 (of 255)."""
-    each = pairs.select(*keys, F.explode(F.arrays_zip(F.col(a).alias("a"), F.col(b).alias("b"))).alias("z")).select(*keys, F.abs(F.col("z.a") - F.col("z.b")).alias("d")).where("d IS NOT NULL")
-    return each.groupBy(*keys).agg(F.avg("d").alias("mean_diff"), F.max("d").alias("max_diff"), (100.0 * F.avg((F.col("d") > 2).cast("double"))).alias("percent_above_2"))
+    """Elementwise, up to the shorter length: mean and largest absolute difference, and the share of those above 2 (of 255). Within each row, so nothing is moved."""
+    each = F.filter(F.zip_with(F.col(a), F.col(b), lambda x, y: F.abs(x - y).cast("double")), lambda d: d.isNotNull())
+    total = F.aggregate("_d", F.lit(0.0), lambda s, d: s + d)
+    above = F.aggregate("_d", F.lit(0.0), lambda s, d: s + F.when(d > 2, 1.0).otherwise(0.0))
+    found = pairs.select(*keys, each.alias("_d")).withColumn("_n", F.size("_d"))
+    share = lambda x: F.when(F.col("_n") > 0, x / F.col("_n"))
+    return found.select(*keys, share(total).alias("mean_diff"), F.array_max("_d").alias("max_diff"), (100.0 * share(above)).alias("percent_above_2"))
 
 
 def deep_share(samples: Column) -> Column:
@@ -31,7 +35,14 @@ def timing(runs: DataFrame, key: str, seconds: str) -> DataFrame:
     return runs.groupBy(key).agg(F.percentile(seconds, F.lit(0.5)).alias("median_s"), F.min(seconds).alias("min_s"), F.count("*").alias("n_runs"))
 
 
-def regressions(base: DataFrame, head: DataFrame, key: str, limit: float = 1.25) -> DataFrame:
-    """Scenarios of both sides, by name: how many times as long the head's fastest run took."""
-    both = base.select(key, F.col("min_s").alias("base_s")).join(head.select(key, F.col("min_s").alias("head_s")), key)
+def regressions(runs: DataFrame, key: str, side: Column, seconds: str, limit: float = 1.25) -> DataFrame:
+    """Scenarios that both sides ('base' and 'head') have run: how many times as long the head's fastest run took. One pass over the runs."""
+    fastest = lambda name: F.min(F.when(side == name, F.col(seconds)))
+    both = runs.groupBy(key).agg(fastest("base").alias("base_s"), fastest("head").alias("head_s")).where("base_s IS NOT NULL AND head_s IS NOT NULL")
     return both.withColumn("ratio", F.col("head_s") / F.col("base_s")).withColumn("slower", F.col("ratio") > limit)
+
+
+def throughput(jobs: DataFrame, key: str, begin: str, end: str, frames: str) -> DataFrame:
+    """Frames a second of jobs side by side: all frames over the time from the first begin to the last end."""
+    wall = F.max(end) - F.min(begin)
+    return jobs.groupBy(key).agg(F.count("*").alias("n_jobs"), F.sum(frames).alias("n_frames"), wall.cast("double").alias("wall_s")).withColumn("frames_a_second", F.when(F.col("wall_s") > 0, F.col("n_frames") / F.col("wall_s")))

@@ -34,18 +34,28 @@ def half_open(frames: DataFrame, start: Column, end: Column) -> DataFrame:
 
 
 def until_passed(packets: DataFrame, end: Column) -> DataFrame:
-    """Packets up to and with the first one after end, in the order in which they come."""
-    before = in_order().rowsBetween(Window.unboundedPreceding, -1)
-    return packets.withColumn("_passed", F.coalesce(F.max((F.col("pts_seconds") > end).cast("int")).over(before), F.lit(0))).where("_passed = 0").drop("_passed")
+    """Packets up to and with the first one after end, in the order in which they come. Only the one that follows is searched for: no stream is sorted."""
+    later = F.col("pts_seconds") > end
+    first = packets.where(later).groupBy(*STREAM).agg(F.min_by(F.struct(*packets.columns), F.struct("pts", "event_id")).alias("_first")).select("_first.*")
+    return packets.where(~later).unionByName(first)
+
+
+#: Steps of a grid that a row is exploded to at once.
+GRID_BLOCK = 1 << 16
 
 
-def on_grid(frames: DataFrame, step: int, most: int = 1_000_000) -> DataFrame:
-    """Frames at a constant step (in units of pts): at each time, the last frame so far. A stream of over most steps is an error."""
+def grid_of(frames: DataFrame, step: int) -> DataFrame:
+    """(asset_id, stream_index, low, k): the places of a grid from each stream's first pts to its last one, exploded in blocks."""
     ends = frames.groupBy(*STREAM).agg(F.min("pts").alias("low"), F.max("pts").alias("high"))
     many = F.floor((F.col("high") - F.col("low")) / step)
-    steps = F.when(many > most, F.raise_error(F.lit("too many steps")).cast("long")).otherwise(many)
-    ends = ends.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), steps)))
-    grid = ends.select(*STREAM, (F.col("low") + F.col("k") * step).alias("pts"), F.lit(None).cast("long").alias("event_id"), F.lit(1).alias("grid"), F.col("k").alias("grid_index"))
+    blocks = ends.withColumn("many", many).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("many") / GRID_BLOCK))))
+    last = F.least(F.col("many"), (F.col("block") + 1) * GRID_BLOCK - 1)
+    return blocks.withColumn("k", F.explode(F.sequence(F.col("block") * GRID_BLOCK, last))).select(*STREAM, "low", "k")
+
+
+def on_grid(frames: DataFrame, step: int) -> DataFrame:
+    """Frames at a constant step (in units of pts): at each time, the last frame so far."""
+    grid = grid_of(frames, step).select(*STREAM, (F.col("low") + F.col("k") * step).alias("pts"), F.lit(None).cast("long").alias("event_id"), F.lit(1).alias("grid"), F.col("k").alias("grid_index"))
     both = frames.select(*STREAM, "pts", "event_id", F.lit(0).alias("grid"), F.lit(None).cast("long").alias("grid_index")).unionByName(grid)
     so_far = Window.partitionBy(*STREAM).orderBy("pts", "grid", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     return both.withColumn("source_id", F.last("event_id", ignorenulls=True).over(so_far)).where("grid = 1").select(*STREAM, "grid_index", "pts", "source_id")
@@ -53,9 +63,7 @@ def on_grid(frames: DataFrame, step: int, most: int = 1_000_000) -> DataFrame:
 
 def interpolated(frames: DataFrame, step: int, value: str = "payload") -> DataFrame:
     """Samples at a constant step, on the line between the last one so far and the next one."""
-    ends = frames.groupBy(*STREAM).agg(F.min("pts").alias("low"), F.max("pts").alias("high"))
-    grid = ends.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("high") - F.col("low")) / step))))
-    grid = grid.select(*STREAM, (F.col("low") + F.col("k") * step).alias("pts"), F.lit(None).cast("double").alias("v"), F.lit(1).alias("grid"), F.col("k").alias("grid_index"), F.lit(None).cast("long").alias("event_id"))
+    grid = grid_of(frames, step).select(*STREAM, (F.col("low") + F.col("k") * step).alias("pts"), F.lit(None).cast("double").alias("v"), F.lit(1).alias("grid"), F.col("k").alias("grid_index"), F.lit(None).cast("long").alias("event_id"))
     own = frames.select(*STREAM, "pts", F.col(value).cast("double").alias("v"), F.lit(0).alias("grid"), F.lit(None).cast("long").alias("grid_index"), "event_id")
     both = own.unionByName(grid).withColumn("at", F.when(F.col("grid") == 0, F.col("pts")))
     order = Window.partitionBy(*STREAM).orderBy("pts", "grid", "event_id")

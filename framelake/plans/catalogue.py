@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,7 +38,7 @@ SELECT asset_id, stream_index, stream_type, CAST(frame_index AS BIGINT) AS frame
 def window_tensor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of a decode result: from the start on, as many as the window has room for."""
     room = P.frame_capacity(P.effective_duration(F.lit(30 * DAY), F.lit(START), F.lit(END)), F.lit(RATE))
-    return timeline.capped(frames(spark, sf_dir), F.lit(START), room).select("asset_id", "stream_index", "stream_type", F.col("frame_index").cast("long").alias("frame_index"), "event_id", "pts", "pts_seconds", "payload")
+    return timeline.capped(frames(spark, sf_dir, START), F.lit(START), room).select("asset_id", "stream_index", "stream_type", F.col("frame_index").cast("long").alias("frame_index"), "event_id", "pts", "pts_seconds", "payload")
 
 
 @query(f"""WITH {FRAMES} SELECT asset_id, stream_index, event_id, pts_seconds FROM f
@@ -175,13 +176,14 @@ def dtype_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _uris(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, u = F.col("page_id"), F.col("url")
     swapped = lambda s: F.regexp_replace(u, "^https?://", s)
-    uri = F.when(k % 5 == 0, swapped("s3://")).when(k % 5 == 1, swapped("gs://")).when(k % 10 == 2, F.regexp_extract(swapped("s3://"), "^s3://[^/]*", 0)).when(k % 10 == 3, F.regexp_extract(swapped("gs://"), "^gs://[^/]*", 0)).when(k % 10 == 7, F.concat(F.lit("concat:"), u)).when(k % 10 == 8, swapped("ftp://")).otherwise(u)
+    uri = F.when(k % 5 == 0, swapped("s3://")).when(k % 5 == 1, swapped("gs://")).when(k % 10 == 2, F.regexp_extract(swapped("s3://"), "^s3://[^/]*", 0)).when(k % 10 == 3, F.regexp_extract(swapped("gs://"), "^gs://[^/]*", 0)).when(k % 20 == 7, F.concat(F.lit("concat:"), u)).when(k % 20 == 17, F.concat(F.lit("subfile,,start,0,end,9,,:"), u)).when(k % 20 == 8, swapped("ftp://")).when(k % 20 == 18, F.concat(F.lit("data:text/html;base64,"), u)).when(k % 10 == 9, F.concat(F.lit("crypto+"), u)).otherwise(u)
     return table(spark, sf_dir, "pages").select("page_id", uri.alias("uri"))
 
 
 URIS = """u AS (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN regexp_replace(url, '^https?://', 's3://') WHEN page_id % 5 = 1 THEN regexp_replace(url, '^https?://', 'gs://')
   WHEN page_id % 10 = 2 THEN regexp_extract(regexp_replace(url, '^https?://', 's3://'), '^s3://[^/]*') WHEN page_id % 10 = 3 THEN regexp_extract(regexp_replace(url, '^https?://', 'gs://'), '^gs://[^/]*')
-  WHEN page_id % 10 = 7 THEN 'concat:' || url WHEN page_id % 10 = 8 THEN regexp_replace(url, '^https?://', 'ftp://') ELSE url END AS uri FROM pages)"""
+  WHEN page_id % 20 = 7 THEN 'concat:' || url WHEN page_id % 20 = 17 THEN 'subfile,,start,0,end,9,,:' || url WHEN page_id % 20 = 8 THEN regexp_replace(url, '^https?://', 'ftp://')
+  WHEN page_id % 20 = 18 THEN 'data:text/html;base64,' || url WHEN page_id % 10 = 9 THEN 'crypto+' || url ELSE url END AS uri FROM pages)"""
 
 
 @query(f"""WITH {URIS} SELECT page_id, CASE WHEN uri LIKE 'gs://%' THEN 'projects/_/buckets/' || regexp_extract(uri, '^gs://([^/]*)', 1) WHEN uri LIKE 's3://%' THEN regexp_extract(uri, '^s3://([^/]*)', 1) END AS bucket,
@@ -196,7 +198,9 @@ def uri_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _uris(spark, sf_dir).select("page_id", P.route(F.col("uri")).alias("route"))
 
 
-@query(f"WITH {URIS} SELECT page_id, uri FROM u WHERE regexp_extract(uri, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1) IN ('', 'file', 'http', 'https', 'tcp', 'tls', 'crypto')")
+@query(f"""WITH {URIS}, p AS (SELECT page_id, uri, strpos(uri, ':') AS colon FROM u), n AS (SELECT page_id, uri, CASE WHEN colon = 0 THEN 'file' WHEN starts_with(uri, 'subfile,') THEN 'subfile'
+  WHEN length(translate(left(uri, colon - 1), 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+-.', '')) > 0 OR colon = 1 THEN 'file' ELSE split_part(left(uri, colon - 1), '+', 1) END AS name FROM p)
+SELECT page_id, uri FROM n WHERE list_contains(['file', 'http', 'https', 'tcp', 'tls', 'crypto'], name)""")
 def uri_whitelist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _uris(spark, sf_dir).where(P.allowed(F.col("uri")))
 
@@ -322,10 +326,28 @@ def rgb_unpad(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {VECTORS}, c AS (SELECT vec_id, list_transform(range(16), lambda i: (e[(i // 4) * 16 + (i % 4) * 2 + 1] + e[(i // 4) * 16 + (i % 4) * 2 + 2] + e[(i // 4) * 16 + (i % 4) * 2 + 9] + e[(i // 4) * 16 + (i % 4) * 2 + 10]) / 4) AS c FROM v)
 SELECT vec_id, len(c) AS n, round(list_sum(list_transform(range(16), lambda i: c[i + 1] * (i + 1))), 6) AS weighted FROM c""")
 def scale_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = vectors(spark, sf_dir).select("vec_id", A.halved(F.col("e"), 8, 8).alias("c"))
+    c = vectors(spark, sf_dir).select("vec_id", A.area_scaled(F.col("e"), 8, 8, 4, 4).alias("c"))
     return c.select("vec_id", F.size("c").cast("long").alias("n"), _weighted("c"))
 
 
+_SHARE = "greatest(0.0::DOUBLE, least(({o} + 1) * {s}, {i} + 1) - greatest({o} * {s}, {i}::DOUBLE)) / {s}"
+
+
+@query(f"""WITH {VECTORS}, o AS (SELECT vec_id, e, unnest(range(0, 15)) AS k FROM v), j AS (SELECT vec_id, k, e[i + 1] * {_SHARE.format(o="(k // 3)", i="(i // 8)", s="1.6::DOUBLE")} * {_SHARE.format(o="(k % 3)", i="(i % 8)", s="(8.0::DOUBLE / 3.0::DOUBLE)")} AS part FROM o, LATERAL (SELECT unnest(range(0, 64)) AS i))
+SELECT vec_id, k AS place, round(sum(part), 6) AS pixel FROM j GROUP BY 1, 2""")
+def scale_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Any size to any other: 8 by 8 to 5 by 3."""
+    each = vectors(spark, sf_dir).select("vec_id", F.posexplode(A.area_scaled(F.col("e"), 8, 8, 5, 3)).alias("place", "pixel"))
+    return each.select("vec_id", F.col("place").cast("long").alias("place"), F.round("pixel", 6).alias("pixel"))
+
+
+@query(f"WITH {VECTORS}, c AS (SELECT vec_id, list_transform(range(64), lambda i: CASE WHEN i % 8 < 6 THEN e[(i // 8) * 6 + i % 8 + 1] ELSE 0.0::DOUBLE END) AS c FROM v) SELECT vec_id, len(c) AS n, c[7] AS pad, c[9] AS second_row, round(list_sum(list_transform(range(64), lambda i: c[i + 1] * (i + 1))), 6) AS weighted FROM c")
+def frame_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tight rows to rows of a stride: what a frame's memory holds."""
+    c = vectors(spark, sf_dir).select("vec_id", A.padded(F.col("e"), 8, 6, 8).alias("c"))
+    return c.select("vec_id", F.size("c").cast("long").alias("n"), F.get("c", F.lit(6)).alias("pad"), F.get("c", F.lit(8)).alias("second_row"), _weighted("c"))
+
+
 _YUV = """y AS (SELECT vec_id, label, floor((e[1] + 1) * 127.5::DOUBLE) AS y, floor((e[2] + 1) * 127.5::DOUBLE) AS u, floor((e[3] + 1) * 127.5::DOUBLE) AS v FROM v),
 m AS (SELECT * FROM (VALUES (0, 0.2126::DOUBLE, 0.0722::DOUBLE), (1, 0.299::DOUBLE, 0.114::DOUBLE), (2, 0.299::DOUBLE, 0.114::DOUBLE), (3, 0.212::DOUBLE, 0.087::DOUBLE), (4, 0.2627::DOUBLE, 0.0593::DOUBLE)) AS t(k, kr, kb)),
 l AS (SELECT vec_id, kr, kb, CASE WHEN label >= 5 THEN y ELSE (y - 16) * 255.0::DOUBLE / 219.0::DOUBLE END AS luma, (u - 128) * (CASE WHEN label >= 5 THEN 1.0::DOUBLE ELSE 255.0::DOUBLE / 224.0::DOUBLE END) AS cb, (v - 128) * (CASE WHEN label >= 5 THEN 1.0::DOUBLE ELSE 255.0::DOUBLE / 224.0::DOUBLE END) AS cr FROM y JOIN m ON label % 5 = k),
@@ -358,6 +380,23 @@ def tonemap_hable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(*_LINES, F.round(A.tone_mapped(F.col("l_extendedprice") / 10000), 6).alias("mapped"))
 
 
+_PQ = "pow(greatest(pow({v}, 1 / (2523.0::DOUBLE / 32)) - 3424.0::DOUBLE / 4096, 0) / (2413.0::DOUBLE / 128 - (2392.0::DOUBLE / 128) * pow({v}, 1 / (2523.0::DOUBLE / 32))), 1 / (2610.0::DOUBLE / 16384)) * 100"
+_HLG = "(CASE WHEN {v} <= 0.5 THEN {v} * {v} / 3 ELSE (exp(({v} - 0.55991073::DOUBLE) / 0.17883277::DOUBLE) + 0.28466892::DOUBLE) / 12 END) * 10"
+_OETF = "CASE WHEN {x} < 0.018 THEN {x} * 4.5 ELSE 1.099 * pow({x}, 0.45::DOUBLE) - 0.099 END"
+
+
+@query(f"""WITH {VECTORS}, s AS (SELECT vec_id, label % 2 = 0 AS hlg, greatest(0, least(1, (e[1] + 1) / 2)) AS r, greatest(0, least(1, (e[2] + 1) / 2)) AS g, greatest(0, least(1, (e[3] + 1) / 2)) AS b FROM v),
+l AS (SELECT vec_id, {", ".join(f"CASE WHEN hlg THEN {_HLG.format(v=c)} ELSE {_PQ.format(v=c)} END AS {c}" for c in "rgb")} FROM s), t AS (SELECT *, greatest(r, g, b, 1e-6::DOUBLE) AS top FROM l),
+m AS (SELECT vec_id, {", ".join(f"{c} * ({_HABLE('top')} / {_HABLE('10.0::DOUBLE')} / top) AS {c}" for c in "rgb")} FROM t),
+p AS (SELECT vec_id, greatest(0, 1.6605::DOUBLE * r - 0.5876::DOUBLE * g - 0.0728::DOUBLE * b) AS r, greatest(0, 1.1329::DOUBLE * g - 0.1246::DOUBLE * r - 0.0083::DOUBLE * b) AS g, greatest(0, 1.1187::DOUBLE * b - 0.0182::DOUBLE * r - 0.1006::DOUBLE * g) AS b FROM m)
+SELECT vec_id, {", ".join(f"round(least(1, {_OETF.format(x=c)}), 6) AS {c}" for c in "rgb")} FROM p""")
+def hdr_to_sdr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole chain on pixels: PQ or HLG to light, the tone curve, primaries, and the transfer of the target."""
+    signal = lambda i: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.get("e", F.lit(i)) + 1) / 2))
+    r, g, b = A.hdr_to_sdr((signal(0), signal(1), signal(2)), F.col("label") % 2 == 0)
+    return vectors(spark, sf_dir).select("vec_id", F.round(r, 6).alias("r"), F.round(g, 6).alias("g"), F.round(b, 6).alias("b"))
+
+
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE l_linenumber % 4 WHEN 0 THEN (CAST(l_partkey % 256 AS DOUBLE) - 128) / 128 WHEN 1 THEN CAST(l_partkey * 7 % 65536 - 32768 AS DOUBLE) / 32768 WHEN 2 THEN CAST(l_partkey * 1000003 % 4294967296 - 2147483648 AS DOUBLE) / 2147483648 ELSE CAST(l_partkey AS DOUBLE) END AS sample,
   CAST(CASE l_linenumber % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 4 ELSE 4 END AS INTEGER) AS bytes FROM lineitem""")
 def pcm_to_float(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -373,15 +412,126 @@ def wav_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from framelake.sources.wav import decode_rows, encode_rows
 
     wav = encode_rows(vectors(spark, sf_dir).select(F.col("vec_id").alias("asset_id"), F.col("e").alias("samples")), 16_000)
-    first = lambda at: F.max(F.when(F.col("place") == at, F.col("sample")))
-    rows = decode_rows(wav).select("asset_id", F.posexplode("samples").alias("place", "sample"))
-    return rows.groupBy(F.col("asset_id").alias("vec_id")).agg(F.count("*").alias("n_samples"), F.round(F.sum(F.col("sample") * 32768)).cast("long").alias("total"), first(0).alias("first_sample"), first(63).alias("last_sample"))
+    return decode_rows(wav).select(F.col("asset_id").alias("vec_id"), *_summary("samples"))
+
+
+def _summary(samples: str):
+    total = F.aggregate(samples, F.lit(0.0), lambda s, x: s + x * 32768)
+    return F.size(samples).cast("long").alias("n_samples"), F.round(total).cast("long").alias("total"), F.get(samples, F.lit(0)).alias("first_sample"), F.element_at(samples, -1).alias("last_sample")
+
+
+@query(f"""WITH {VECTORS}, s AS (SELECT vec_id, list_transform(e, lambda x: floor(x * 32767)) AS s FROM v) SELECT vec_id, len(s) AS n_samples, CAST(list_sum(s) AS BIGINT) AS total, s[1] / 32768 AS first_sample, s[64] / 32768 AS last_sample FROM s""")
+def flac_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from framelake import api
+    from framelake.sources import flac
+
+    content = vectors(spark, sf_dir).select(F.col("vec_id").cast("string").alias("path"), "e")
+    files = audio.kernel_rows(content, "e", lambda x: flac.encode(np.floor(x * 32767).astype(np.int64)[None], 16_000), "content binary")
+    heard = api.tensors(api.decode_audio(files))
+    return heard.select(F.col("path").cast("long").alias("vec_id"), *_summary("values"))
+
+
+_CLIP = "b AS (SELECT vec_id, list_transform(e, lambda x: floor(greatest(0.0::DOUBLE, least(255.0::DOUBLE, (x + 1) * 127.5::DOUBLE)))) AS b FROM v)"
+
+
+def _clips(spark: SparkSession, sf_dir: str, width: int, height: int, frames: int) -> DataFrame:
+    """Clips of 4:4:4 frames at ten a second, made of each vector's values as bytes."""
+    from framelake.sources import headers
+
+    size = width * height * 3
+
+    def clip(x: np.ndarray) -> bytes:
+        raw = np.floor(np.clip((x + 1) * 127.5, 0, 255)).astype(np.uint8).tobytes()
+        return headers.y4m(width, height, (10, 1), [raw[k * size : (k + 1) * size] for k in range(frames)])
+
+    content = vectors(spark, sf_dir).select(F.col("vec_id").cast("string").alias("path"), "e")
+    return audio.kernel_rows(content, "e", clip, "content binary")
+
+
+@query(f"""WITH {VECTORS}, {_CLIP}, p AS (SELECT vec_id, k, i, (b[k * 24 + i + 1] - 16) * 255.0::DOUBLE / 219 AS y, (b[k * 24 + i + 9] - 128) * 255.0::DOUBLE / 224 AS u, (b[k * 24 + i + 17] - 128) * 255.0::DOUBLE / 224 AS w FROM b, LATERAL (SELECT unnest(range(0, 2)) AS k), LATERAL (SELECT unnest(range(0, 8)) AS i)),
+c AS (SELECT vec_id, k, i, y + 1.402::DOUBLE * w AS r, (y - 0.299::DOUBLE * (y + 1.402::DOUBLE * w) - 0.114::DOUBLE * (y + 1.772::DOUBLE * u)) / 0.587::DOUBLE AS g, y + 1.772::DOUBLE * u AS b FROM p),
+q AS (SELECT vec_id, k, i, greatest(0, least(255, floor(r + 0.5))) AS r, greatest(0, least(255, floor(g + 0.5))) AS g, greatest(0, least(255, floor(b + 0.5))) AS b FROM c)
+SELECT vec_id, k AS frame_index, k / 10.0::DOUBLE AS pts_seconds, CAST(sum(r * (i + 1)) AS BIGINT) AS red, CAST(sum(g * (i + 1)) AS BIGINT) AS green, CAST(sum(b * (i + 1)) AS BIGINT) AS blue FROM q GROUP BY 1, 2""")
+def y4m_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of a clip as pixels, plane by plane."""
+    from framelake import api
+
+    seen = api.tensors(api.decode_all(_clips(spark, sf_dir, 4, 2, 2), api.MediaDecodeRequest("", video_stream=api.VideoStreamRequest())))
+    plane = lambda k: F.aggregate(F.transform(F.slice("values", 1 + 8 * k, 8), lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x).cast("long")
+    return seen.select(F.col("path").cast("long").alias("vec_id"), "frame_index", "pts_seconds", plane(0).alias("red"), plane(1).alias("green"), plane(2).alias("blue"))
+
+
+@query(f"""WITH {VECTORS}, q AS (SELECT vec_id, CASE WHEN vec_id % 3 <> 0 THEN (vec_id % 7) / 10.0::DOUBLE END AS start, CASE WHEN vec_id % 5 <> 0 THEN (vec_id % 11) / 10.0::DOUBLE END AS stop FROM v),
+s AS (SELECT *, CASE WHEN start IS NOT NULL AND stop IS NOT NULL AND stop <= start THEN 'empty window' END AS error, CASE WHEN stop IS NULL THEN 1.0::DOUBLE - coalesce(start, 0) ELSE least(1.0::DOUBLE, stop - coalesce(start, 0)) END AS seconds FROM q),
+n AS (SELECT vec_id, error, list_filter(range(0, 10), lambda k: k / 10.0::DOUBLE >= coalesce(start, 0)) AS k, CAST(ceil((seconds - 0.05::DOUBLE) * 10) AS BIGINT) AS room FROM s),
+f AS (SELECT vec_id, error, CASE WHEN error IS NULL THEN list_slice(k, 1, greatest(0, room)) ELSE [] END AS k FROM n)
+SELECT vec_id, CAST(len(k) AS BIGINT) AS n_frames, CASE WHEN len(k) > 0 THEN k[1] / 10.0::DOUBLE END AS first_pts, CASE WHEN len(k) > 0 THEN k[len(k)] / 10.0::DOUBLE END AS last_pts, error FROM f WHERE len(k) > 0 OR error IS NOT NULL""")
+def decode_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch of requests with windows of their own, each answered by frames or an error."""
+    from framelake import api
+
+    k = F.col("vec_id")
+    start, end = F.when(k % 3 != 0, (k % 7) / F.lit(10.0)), F.when(k % 5 != 0, (k % 11) / F.lit(10.0))
+    video = F.from_json(F.lit("{}"), "struct<index: int, width: int, height: int, fps: double, dimension_order: string, device: string, dtype: string>")
+    requests = vectors(spark, sf_dir).select(k.cast("string").alias("path"), k.alias("request_id"), start.alias("start_time"), end.alias("end_time"), video.alias("video"), F.lit(None).cast("array<struct<index: int>>").alias("audio"))
+    rows = api.decode(_clips(spark, sf_dir, 2, 1, 10), requests)
+    return rows.groupBy(F.col("request_id").alias("vec_id")).agg(F.count("data").alias("n_frames"), F.min("pts_seconds").alias("first_pts"), F.max("pts_seconds").alias("last_pts"), F.max("error").alias("error"))
 
 
 @query(f"WITH {VECTORS}, s AS (SELECT vec_id, unnest(e) AS s, generate_subscripts(e, 1) - 1 AS i FROM v) SELECT vec_id, CAST(i % 2 AS INTEGER) AS channel, count(*) AS n, round(sum(s * (i // 2 + 1)), 6) AS weighted FROM s GROUP BY 1, 2")
 def audio_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    each = audio.channels(vectors(spark, sf_dir), "e", 2)
-    return each.groupBy("vec_id", "channel").agg(F.count("*").alias("n"), F.round(F.sum(F.col("sample") * (F.col("place") + 1)), 6).alias("weighted"))
+    each = vectors(spark, sf_dir).select("vec_id", F.posexplode(audio.channels(F.col("e"), 2)).alias("channel", "c"))
+    return each.select("vec_id", "channel", F.size("c").cast("long").alias("n"), _weighted("c"))
+
+
+_TAPS = """h AS (WITH RECURSIVE h(n, v1, v2, y1, y2) AS (SELECT 0, b0, 0.0::DOUBLE, b0, 0.0::DOUBLE FROM k
+  UNION ALL SELECT n + 1, v, v1, v - 2 * v1 + v2 - c1 * y1 - c2 * y2, y1 FROM (SELECT h.*, k.c1, k.c2, (CASE n WHEN 0 THEN b1 WHEN 1 THEN b2 ELSE 0 END) - a1 * v1 - a2 * v2 AS v FROM h, k WHERE n < 63))
+  SELECT n, y1 AS tap FROM h)"""
+_K48 = "k AS (SELECT 1.53512485958697::DOUBLE AS b0, -2.69169618940638::DOUBLE AS b1, 1.19839281085285::DOUBLE AS b2, -1.69065929318241::DOUBLE AS a1, 0.73248077421585::DOUBLE AS a2, -1.99004745483398::DOUBLE AS c1, 0.99007225036621::DOUBLE AS c2)"
+
+
+@query(f"""WITH {VECTORS}, {_K48}, {_TAPS}, t AS (SELECT list(tap ORDER BY n) AS t FROM h), w AS (SELECT vec_id, label, i, list_sum(list_transform(range(0, i + 1), lambda j: e[j + 1] * t[i - j + 1])) AS w FROM v, t, LATERAL (SELECT unnest(range(0, 64)) AS i)),
+b AS (SELECT label, vec_id, avg(w * w) AS e FROM w GROUP BY 1, 2), l AS (SELECT *, -0.691::DOUBLE + 10 * log10(e) AS l FROM b WHERE e > 0), g AS (SELECT label, -0.691::DOUBLE + 10 * log10(avg(e)) - 10 AS gate FROM l WHERE l > -70 GROUP BY 1)
+SELECT l.label, round(-0.691::DOUBLE + 10 * log10(avg(e)), 4) AS loudness, count(*) AS n_blocks FROM l JOIN g USING (label) WHERE l > -70 AND l > gate GROUP BY 1""")
+def loudness_integrated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K-weighting by the kernel that decoding uses, then both gates as DataFrame operations; each vector is a block at 48 kHz."""
+    from framelake.functions import signal
+
+    v = vectors(spark, sf_dir).withColumn("key", F.struct("vec_id", "label")).select("key", "e")
+    blocks = audio.kernel_rows(v, "e", lambda x: float(np.mean(signal.k_weighted(x[None], 48_000) ** 2)), "energy double")
+    return audio.gated_loudness(blocks.select("key.label", "energy"), ["label"]).withColumn("loudness", F.round("loudness", 4))
+
+
+@query(f"""WITH {VECTORS}, o AS (SELECT vec_id, m, sum(e[n + 1] * 0.75::DOUBLE * (CASE WHEN t = 0 THEN 1.0::DOUBLE ELSE sin(pi() * 0.75::DOUBLE * t) / (pi() * 0.75::DOUBLE * t) END) * (0.5::DOUBLE + 0.5::DOUBLE * cos(pi() * t / (16.0::DOUBLE / 3)))) AS x
+  FROM (SELECT vec_id, e, m, n, (m * 4.0::DOUBLE - n * 3) / 3 AS t FROM v, LATERAL (SELECT unnest(range(0, 48)) AS m), LATERAL (SELECT unnest(range(0, 64)) AS n)) WHERE abs(t) < 16.0::DOUBLE / 3 GROUP BY 1, 2)
+SELECT vec_id, m AS place, round(x, 6) AS sample FROM o""")
+def audio_resample_sinc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """16 to 12 kHz by a windowed sinc of four lobes, cut off at the lower rate's half."""
+    from framelake.functions import signal
+
+    out = audio.kernel_rows(vectors(spark, sf_dir).select("vec_id", "e"), "e", lambda x: signal.sinc_resampled(x[None], 16_000, 12_000, lobes=4)[0], "samples array<double>")
+    return out.select("vec_id", F.posexplode("samples").alias("place", "sample")).select("vec_id", F.col("place").cast("long").alias("place"), F.round("sample", 6).alias("sample"))
+
+
+_MELS = """g AS (SELECT j, CASE WHEN m < 15 THEN m * 200.0::DOUBLE / 3 ELSE 1000 * exp((ln(6.4::DOUBLE) / 27) * (m - 15)) END AS hz FROM (SELECT j, j * (15 + ln(8.0::DOUBLE) / (ln(6.4::DOUBLE) / 27)) / 5 AS m FROM (SELECT unnest(range(0, 6)) AS j))),
+w AS (SELECT a.j AS mel, k, 2 / (c.hz - a.hz) * greatest(0, least((k * 1000.0::DOUBLE - a.hz) / (b.hz - a.hz), (c.hz - k * 1000.0::DOUBLE) / (c.hz - b.hz))) AS weight FROM g a JOIN g b ON b.j = a.j + 1 JOIN g c ON c.j = a.j + 2, LATERAL (SELECT unnest(range(0, 9)) AS k))"""
+
+
+@query(f"""WITH {VECTORS}, {_MELS}, s AS (SELECT vec_id, hop, i, e[hop * 8 + i + 1] * (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * i / 16)) AS x FROM v, LATERAL (SELECT unnest(range(0, 7)) AS hop), LATERAL (SELECT unnest(range(0, 16)) AS i)),
+d AS (SELECT vec_id, hop, k, pow(sum(x * cos(2 * pi() * k * i / 16)), 2) + pow(sum(x * sin(2 * pi() * k * i / 16)), 2) AS p FROM s, LATERAL (SELECT unnest(range(0, 9)) AS k) GROUP BY 1, 2, 3)
+SELECT vec_id, mel, hop, round(sum(p * weight) * 1000, 6) AS power FROM d JOIN w USING (k) GROUP BY 1, 2, 3""")
+def mel_spectrogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four bands of frames of 16 samples, 8 apart."""
+    from framelake.functions import signal
+
+    out = audio.kernel_rows(vectors(spark, sf_dir).select("vec_id", "e"), "e", lambda x: signal.mel_spectrogram(x, 16_000, 16, 8, 4).tolist(), "bands array<array<double>>")
+    each = out.select("vec_id", F.posexplode("bands").alias("mel", "band")).select("vec_id", F.col("mel").cast("long").alias("mel"), F.posexplode("band").alias("hop", "power"))
+    return each.select("vec_id", "mel", F.col("hop").cast("long").alias("hop"), F.round(F.col("power") * 1000, 6).alias("power"))
+
+
+@query("SELECT p_partkey, CASE p_size % 10 WHEN 1 THEN 'mono' WHEN 2 THEN 'stereo' WHEN 3 THEN '2.1' WHEN 4 THEN '4.0' WHEN 5 THEN '5.0' WHEN 6 THEN '5.1' WHEN 7 THEN '6.1' WHEN 8 THEN '7.1' END AS layout FROM part")
+def default_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", P.channel_layout(F.col("p_size") % 10).alias("layout"))
 
 
 @query(f"""WITH {FRAMES}, b AS (SELECT stream_index, (payload / 500) * (payload / 500) * (CASE WHEN event_id % 10 = 0 THEN 1e-9::DOUBLE ELSE 1.0::DOUBLE END) AS e FROM f), l AS (SELECT *, -0.691::DOUBLE + 10 * log10(e) AS l FROM b WHERE e > 0),
@@ -426,12 +576,13 @@ def allclose(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(spark, sf_dir).select("vec_id", A.all_close(F.col("a"), F.col("b"), 1e-5, 0.5).alias("near"))
 
 
-@query(f"WITH {FRAMES} SELECT asset_id, stream_index, pts, payload FROM f WHERE event_id % 7 = 0 EXCEPT ALL SELECT asset_id, stream_index, pts, payload FROM f WHERE event_id % 3 = 0")
+@query(f"WITH {FRAMES} SELECT asset_id, stream_index, pts, payload FROM f EXCEPT ALL SELECT asset_id, stream_index, pts, CASE WHEN event_id % 7 = 0 THEN payload + 1 ELSE payload END FROM f")
 def frame_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames of one result that the other one lacks."""
+    """Frames of one result that the other one lacks: all are compared; in the other, one of seven has another payload."""
     f = frames(spark, sf_dir)
     fields = ["asset_id", "stream_index", "pts", "payload"]
-    return f.where("event_id % 7 = 0").select(*fields).exceptAll(f.where("event_id % 3 = 0").select(*fields))
+    changed = f.withColumn("payload", F.when(F.col("event_id") % 7 == 0, F.col("payload") + 1).otherwise(F.col("payload")))
+    return f.select(*fields).exceptAll(changed.select(*fields))
 
 
 @query(f"WITH {VECTORS}, s AS (SELECT label, unnest(e) AS s FROM v) SELECT label, round(avg(CASE WHEN round(abs(s) * 65535) % 257 <> 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 9) AS deep_share FROM s GROUP BY 1")
@@ -464,9 +615,16 @@ _TIMES = "SELECT p_brand, min(l_extendedprice) AS m FROM lineitem JOIN part ON l
 
 @query(f"SELECT p_brand, b.m AS base_s, h.m AS head_s, h.m / b.m AS ratio, h.m / b.m > 1.25 AS slower FROM ({_TIMES.format('N')}) b JOIN ({_TIMES.format('R')}) h USING (p_brand)")
 def perf_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_returnflag", "l_extendedprice").join(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
-    side = lambda flag: lines.where(F.col("l_returnflag") == flag).groupBy("p_brand").agg(F.min("l_extendedprice").alias("min_s"))
-    return compare.regressions(side("N"), side("R"), "p_brand")
+    lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_returnflag", "l_extendedprice").where(F.col("l_returnflag").isin("N", "R"))
+    runs = lines.join(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    return compare.regressions(runs, "p_brand", F.when(F.col("l_returnflag") == "N", "base").otherwise("head"), "l_extendedprice")
+
+
+@query("""SELECT l_suppkey, count(*) AS n_jobs, sum(l_quantity) AS n_frames, CAST(max(l_partkey + l_linenumber) - min(l_partkey) AS DOUBLE) AS wall_s, sum(l_quantity) / (max(l_partkey + l_linenumber) - min(l_partkey)) AS frames_a_second FROM lineitem GROUP BY 1""")
+def throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Concurrent jobs: frames a second of wall time."""
+    jobs = table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_partkey").alias("begin"), (F.col("l_partkey") + F.col("l_linenumber")).alias("end"), "l_quantity")
+    return compare.throughput(jobs, "l_suppkey", "begin", "end", "l_quantity")
 
 
 @query(f"""WITH {FRAMES}, r AS (SELECT asset_id, stream_index, stream_type, list(pts_seconds ORDER BY pts, event_id) AS l FROM f GROUP BY 1, 2, 3)
@@ -494,18 +652,14 @@ def mp4_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probe(files).select(F.col("path").cast("long").alias("p_partkey"), "stream_index", "stream_type", "width", "height", F.round("fps", 9).alias("fps"), "sample_rate")
 
 
-@query(f"""WITH {VECTORS} SELECT vec_id, 4 AS width, 2 AS height, 1.0::DOUBLE AS fps FROM v""")
+@query(f"""WITH {VECTORS}, {_CLIP} SELECT vec_id, 4 AS width, 2 AS height, 1.0::DOUBLE AS fps, {", ".join(f"CAST(list_sum(list_transform(range(0, 8), lambda i: b[i * 3 + {k + 1}] * (i + 1))) AS BIGINT) AS {c}" for k, c in enumerate(("red", "green", "blue")))} FROM b""")
 def image_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A still image is one frame at a rate of one."""
-    import pyarrow as pa
-
-    from framelake.api import probe
+    """A still image is one frame at a rate of one; its pixels are decoded."""
+    from framelake import api
     from framelake.sources import headers
 
-    def build(batches):
-        for b in batches:
-            made = [headers.png(4, 2, bytes(max(0, min(255, int((x + 1) * 127.5))) for x in e[:24])) for e in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([str(k) for k in b.column(0).to_pylist()]), pa.array(made, pa.binary())], ["path", "content"])
-
-    files = vectors(spark, sf_dir).select("vec_id", "e").mapInArrow(build, "path string, content binary")
-    return probe(files).select(F.col("path").cast("long").alias("vec_id"), "width", "height", "fps")
+    content = vectors(spark, sf_dir).select(F.col("vec_id").cast("string").alias("path"), "e")
+    files = audio.kernel_rows(content, "e", lambda x: headers.png(4, 2, np.floor(np.clip((x[:24] + 1) * 127.5, 0, 255)).astype(np.uint8).tobytes()), "content binary")
+    seen = api.tensors(api.decode_all(files, api.MediaDecodeRequest("", video_stream=api.VideoStreamRequest(dimension_order="NHWC"))))
+    plane = lambda k: F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.get("values", i * 3 + k) * (i + 1)), F.lit(0.0), lambda s, x: s + x).cast("long")
+    return seen.select(F.col("path").cast("long").alias("vec_id"), F.get("shape", F.lit(1)).alias("width"), F.get("shape", F.lit(0)).alias("height"), "fps", plane(0).alias("red"), plane(1).alias("green"), plane(2).alias("blue"))

@@ -14,13 +14,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events as frames: an asset for each user, a stream for each type of event."""
+def frames(spark: SparkSession, sf_dir: str, start: float | None = None) -> DataFrame:
+    """events as frames: an asset for each user, a stream for each type of event. With start, a bound on ts, a second early, reaches the scan; the exact test on pts_seconds stays the caller's."""
     index = F.lit(None).cast("int")
     for k, kind in enumerate(KINDS):
         index = F.when(F.col("event_type") == kind, k).otherwise(index)
     pts = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', ts)").cast("long")
-    return table(spark, sf_dir, "events").select(
+    events = table(spark, sf_dir, "events")
+    if start is not None:
+        events = events.where(F.expr(f"ts >= timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, {start - 1:.6f})"))
+    return events.select(
         "event_id", F.col("user_id").alias("asset_id"), index.cast("int").alias("stream_index"), F.when(F.col("event_type").isin("error", "signup"), "audio").otherwise("video").alias("stream_type"), pts.alias("pts"), pts_seconds(pts).alias("pts_seconds"), F.col("value").alias("payload")
     )
 

@@ -7,7 +7,7 @@ from fractions import Fraction
 
 import numpy as np
 
-from framelake.sources import wav
+from framelake.sources import flac, wav
 
 
 def streams_of(content: bytes) -> list[dict]:
@@ -17,7 +17,7 @@ def streams_of(content: bytes) -> list[dict]:
         return [audio(0, h["rate"], h["channels"], n)]
     if content[:9] == b"YUV4MPEG2":
         h = y4m_header(content)
-        n = sum(1 for _ in y4m_planes(content))
+        n = y4m_count(content)
         return [{"stream_index": 0, "stream_type": "video", "width": h["width"], "height": h["height"], "fps": float(h["fps"]), "nb_frames": n, "duration_s": float(n / h["fps"])}]
     if content[:8] == b"\x89PNG\r\n\x1a\n":
         return [still(*struct.unpack_from(">II", content, 16))]
@@ -28,8 +28,8 @@ def streams_of(content: bytes) -> list[dict]:
         w, h = (int(x) for x in content[2:64].split()[:2])
         return [still(w, h)]
     if content[:4] == b"fLaC":
-        packed = int.from_bytes(content[18:26], "big")
-        return [audio(0, packed >> 44, (packed >> 41 & 7) + 1, packed & (1 << 36) - 1)]
+        h = flac.header(content)
+        return [audio(0, h["rate"], h["channels"], h["samples"])]
     if content[4:8] == b"ftyp":
         return mp4_streams(content)
     raise ValueError("unknown container")
@@ -93,27 +93,54 @@ def mp4_streams(data: bytes) -> list[dict]:
 def y4m_header(data: bytes) -> dict:
     line, _, _ = data.partition(b"\n")
     tags = {x[:1]: x[1:].decode() for x in line.split(b" ")[1:]}
+    if not all(t in tags for t in (b"W", b"H", b"F")):
+        raise ValueError("no size or no rate")
     num, den = tags[b"F"].split(":")
-    return {"width": int(tags[b"W"]), "height": int(tags[b"H"]), "fps": Fraction(int(num), int(den)), "chroma": tags.get(b"C", "420"), "begin": len(line) + 1}
+    full = "COLORRANGE=FULL" in (x[1:].decode() for x in line.split(b" ")[1:] if x[:1] == b"X")
+    h = {"width": int(tags[b"W"]), "height": int(tags[b"H"]), "fps": Fraction(int(num), int(den)), "chroma": tags.get(b"C", "420"), "begin": len(line) + 1, "full": full}
+    if h["width"] <= 0 or h["height"] <= 0 or h["fps"] <= 0 or b"\n" not in data[: h["begin"]]:
+        raise ValueError("unusable Y4M header")
+    return h
+
+
+def y4m_layout(h: dict) -> tuple[int, int]:
+    """Height and width of a chroma plane."""
+    halves = {"420": (2, 2), "420jpeg": (2, 2), "420mpeg2": (2, 2), "420paldv": (2, 2), "422": (1, 2), "444": (1, 1)}.get(h["chroma"])
+    if halves is None:
+        raise ValueError(f"chroma {h['chroma']!r} is not supported")
+    return -(-h["height"] // halves[0]), -(-h["width"] // halves[1])
+
+
+def y4m_frames(data: bytes, size: int, begin: int):
+    """Where each whole frame's samples begin."""
+    at = begin
+    while True:
+        end = data.find(b"\n", at, at + 4096)
+        if not data.startswith(b"FRAME", at) or end < 0 or end + 1 + size > len(data):
+            return
+        yield end + 1
+        at = end + 1 + size
+
+
+def y4m_count(data: bytes) -> int:
+    h = y4m_header(data)
+    ch, cw = y4m_layout(h)
+    return sum(1 for _ in y4m_frames(data, h["height"] * h["width"] + 2 * ch * cw, h["begin"]))
 
 
 def y4m_planes(data: bytes):
     """(luma, first chroma, second chroma) of each whole frame, chroma at the size of luma."""
     h = y4m_header(data)
     height, width = h["height"], h["width"]
-    ch, cw = (height, width) if h["chroma"].startswith("444") else ((height + 1) // 2, (width + 1) // 2)
-    size, at = height * width + 2 * ch * cw, h["begin"]
-    while True:
-        end = data.find(b"\n", at)
-        if not data.startswith(b"FRAME", at) or end < 0 or end + 1 + size > len(data):
-            return
-        raw = np.frombuffer(data, np.uint8, size, end + 1)
+    ch, cw = y4m_layout(h)
+    size = height * width + 2 * ch * cw
+    for begin in y4m_frames(data, size, h["begin"]):
+        raw = np.frombuffer(data, np.uint8, size, begin)
         planes = [raw[: height * width].reshape(height, width)]
         for k in range(2):
             c = raw[height * width + k * ch * cw : height * width + (k + 1) * ch * cw].reshape(ch, cw)
-            planes.append(c if ch == height and cw == width else np.repeat(np.repeat(c, 2, axis=0), 2, axis=1)[:height, :width])
+            planes.append(np.repeat(np.repeat(c, -(-height // ch), axis=0), -(-width // cw), axis=1)[:height, :width])
         yield tuple(planes)
-        at = end + 1 + size
 
 
 def to_rgb(y: np.ndarray, u: np.ndarray, v: np.ndarray, red: float = 0.299, blue: float = 0.114, full: bool = False) -> np.ndarray:

@@ -29,8 +29,10 @@ def header(content: bytes) -> dict:
     while at + 8 <= len(content):
         name, size = content[at : at + 4], struct.unpack_from("<I", content, at + 4)[0]
         if name == b"fmt ":
+            if at + 24 > len(content):
+                raise ValueError("cut format")
             kind, channels, rate, _, _, bits = struct.unpack_from("<HHIIHH", content, at + 8)
-            if kind == 0xFFFE and size >= 40:
+            if kind == 0xFFFE and size >= 40 and at + 34 <= len(content):
                 kind = struct.unpack_from("<H", content, at + 32)[0]
             found |= {"kind": kind, "channels": channels, "rate": rate, "bits": bits}
         elif name == b"data":
@@ -39,6 +41,8 @@ def header(content: bytes) -> dict:
         at += 8 + size + size % 2
     if "kind" not in found or "begin" not in found:
         raise ValueError("no format or no data")
+    if found["kind"] not in (1, 3) or found["bits"] not in (8, 16, 24, 32, 64) or not found["channels"] or not found["rate"] or found["kind"] == 3 and found["bits"] < 32:
+        raise ValueError("WAV form is not supported")
     return found
 
 

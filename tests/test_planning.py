@@ -44,7 +44,7 @@ def test_specs(spark):
     assert spec(30, 640, 480, True) == "fps=30,scale=width=640:height=480," + hable + "format=pix_fmts=rgb24"
     audio = lambda loud, rate: value(spark, planning.audio_spec(lit(loud, "string"), lit(rate, "int")))
     assert (audio(None, 44100), audio(None, None), audio("loudnorm=I=-18:LRA=7:TP=-1", 44100)) == ("aresample=44100", "anull", "loudnorm=I=-18:LRA=7:TP=-1,aresample=44100")
-    full = LoudnessNormalization(integrated=-23, loudness_range=5, true_peak=-2, measured_integrated=-30, measured_loudness_range=10, measured_true_peak=-2, measured_threshold=-40, offset=0, linear=True, dual_mono=True)
+    full = LoudnessNormalization(integrated_loudness_target=-23, loudness_range_target=5, true_peak_level_target=-2, measured_integrated_loudness=-30, measured_loudness_range=10, measured_true_peak_level=-2, measured_threshold=-40, offset_gain=0, linear=True, dual_mono=True)
     assert full.spec() == "loudnorm=I=-23:LRA=5:TP=-2:measured_I=-30:measured_LRA=10:measured_TP=-2:measured_thresh=-40:offset=0:linear=true:dual_mono=true"
     assert LoudnessNormalization().spec() == "loudnorm="
 
@@ -55,7 +55,10 @@ def test_uris(spark):
     assert parsed("gs://bucket")[2:] == ("", "ok") and parsed("gs://")[3] == "no bucket"
     assert parsed("s3://my_bucket/nested/object.mp4") == ("s3", "my_bucket", "nested/object.mp4", "ok")
     assert parsed("s3://bucket-without-key")[3] == "no key" and parsed("S3://b/k")[0] == "file"
-    assert [value(spark, planning.allowed(F.lit(u))) for u in ("/a/b", "https://x", "concat://a", "ftp://a")] == [True, True, False, False]
+    may = ("/a/b", "a b.wav", "a,b:c", "file:/a", "https://x", "crypto:https://x", "crypto+file:/a")
+    not_allowed = ("concat://a", "ftp://a", "concat:https://a", "concat:/a|/b", "subfile,,start,0,end,9,,:/etc/passwd", "data:audio/wav;base64,UklG", "HTTP://x", "crypto:concat:/a", "pipe:0", "gs://b/k")
+    assert [value(spark, planning.allowed(F.lit(u))) for u in may] == [True] * len(may)
+    assert [value(spark, planning.allowed(F.lit(u))) for u in not_allowed] == [False] * len(not_allowed)
 
 
 def test_credentials(spark):
@@ -64,7 +67,7 @@ def test_credentials(spark):
     assert all(found(*x).startswith("error") for x in ((None, None, None, "bogus"), ("i", None, None, None), (None, None, "t", None), ("i", "s", None, "default")))
     with pytest.raises(ValueError):
         S3Config(access_key_id="i").hadoop_options("b")
-    config = S3Config(access_key_id="i", secret_access_key="hidden", force_path_style=True)
+    config = S3Config(access_key_id="i", secret_access_key="hidden", endpoint_url="http://e", force_path_style=True)
     assert "hidden" not in repr(config) and config.hadoop_options("b")["fs.s3a.bucket.b.path.style.access"] == "true"
 
 
