@@ -13,7 +13,8 @@ counts (Chen and Goodman); lower is the same with the numbers of words that w fo
 training and an unknown one are alike. After a word never seen, lower alone counts.
 
 Files have fixed names and contents, and appear under their names when they are whole: a task that is run again, on any executor,
-writes the same. The number of ranges is a parameter; a task holds one range's arrays.
+writes the same. The number of ranges follows the input's size, so that a task holds a bounded share; counts have 32 bits where all of an
+array fit, else 64.
 
 Defined results: a null text counts as empty; an empty text is its end alone; with no training text, N and V are 0, and both scores
 of any text are 0. A null id counts as text "null" where rows are held out. Texts of any length are scored whole; repeated rows are
@@ -33,10 +34,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm.common import batches_of, new_folder, table, texts
+from framelake.llm.common import batches_of, new_folder, ranges_for, release, table, texts
 
-#: Ranges of hash: a power of two.
-RANGES = 64
+#: Bytes of the input's files for each range of hash.
+RANGE_BYTES = 8 << 20
 #: Bytes of text whose pairs a worker counts before it sends them, and that it scores at once.
 COUNTED_BYTES = 12 << 20
 SCORED_BYTES = 4 << 20
@@ -104,18 +105,31 @@ def range_ends(h: np.ndarray, ranges: int) -> np.ndarray:
     return np.append(np.searchsorted(h, np.array([step * i for i in range(1, ranges)], np.uint64)), len(h))
 
 
+def narrowest(*counts: np.ndarray) -> type:
+    """The type that holds all counts."""
+    return np.uint64 if any(len(c) and int(c.max()) >= 1 << 32 for c in counts) else np.uint32
+
+
 def words_blobs(kind: int, h: np.ndarray, count: np.ndarray, ranges: int) -> Iterator[tuple[int, int, bytes]]:
     begin = 0
     for r, end in enumerate(range_ends(h, ranges)):
         if end > begin:
-            yield kind, r, h[begin:end].tobytes() + count[begin:end].astype(np.uint32).tobytes()
+            yield kind, r, words_blob(h[begin:end], count[begin:end])
         begin = end
 
 
+def words_blob(h: np.ndarray, count: np.ndarray) -> bytes:
+    """How many, the hashes, and the counts, whose width follows from the length."""
+    return len(h).to_bytes(8, "little") + h.tobytes() + count.astype(narrowest(count)).tobytes()
+
+
 def words_from(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    sizes = [len(b) // 12 for b in blobs]
-    h = np.concatenate([np.frombuffer(b, np.uint64, n) for b, n in zip(blobs, sizes)])
-    count = np.concatenate([np.frombuffer(b, np.uint32, n, 8 * n) for b, n in zip(blobs, sizes)]).astype(np.int64)
+    hashes, counts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    for b in blobs:
+        n = int.from_bytes(b[:8], "little")
+        hashes.append(np.frombuffer(b, np.uint64, n, 8))
+        counts.append(np.frombuffer(b, np.uint32 if len(b) == 8 + 12 * n else np.uint64, n, 8 + 8 * n).astype(np.int64))
+    h, count = np.concatenate(hashes), np.concatenate(counts)
     order = np.argsort(h, kind="stable")
     begins = runs(h[order])
     return h[order][begins], sums(count[order], begins)
@@ -197,8 +211,10 @@ def uri_of(folder: str) -> str:
     return folder if "://" in folder else "file://" + folder.removeprefix("file:")
 
 
-def put(folder: str, name: str, arrays: list[np.ndarray]) -> None:
-    """Write arrays one after another; the file appears under its name when it is whole."""
+def put(folder: str, name: str, h: np.ndarray, *counts: np.ndarray) -> None:
+    """Write hashes and then counts, one array after another, all of the width that the largest needs; the file appears under its name when it is whole."""
+    width = narrowest(*counts)
+    arrays = [np.array([np.dtype(width).itemsize], np.uint64), h, *(c.astype(width) for c in counts)]
     fs, path = pafs.FileSystem.from_uri(uri_of(folder))
     fs.create_dir(path)
     part = f"{path}/.{name}.{uuid.uuid4().hex}"
@@ -218,10 +234,7 @@ def get(folder: str, name: str, columns: int) -> list[np.ndarray]:
             _maps.clear()  # of a model before
         fs, path = pafs.FileSystem.from_uri(uri_of(folder))
         file = f"{path}/{name}"
-        size = fs.get_file_info(file).size
-        if not size:
-            raw = np.empty(0, np.uint8)
-        elif isinstance(fs, pafs.LocalFileSystem):
+        if isinstance(fs, pafs.LocalFileSystem):
             raw = np.memmap(file, np.uint8, "r")
         else:
             with tempfile.NamedTemporaryFile() as copy, fs.open_input_stream(file) as f:
@@ -229,8 +242,10 @@ def get(folder: str, name: str, columns: int) -> list[np.ndarray]:
                     copy.write(data)
                 copy.flush()
                 raw = np.memmap(copy.name, np.uint8, "r")
-        n = len(raw) // (8 + 4 * columns)
-        _maps[folder, name] = [raw[: 8 * n].view(np.uint64), *(raw[8 * n + 4 * n * k : 8 * n + 4 * n * (k + 1)].view(np.uint32) for k in range(columns))]
+        width = int(raw[:8].view(np.uint64)[0])
+        n = (len(raw) - 8) // (8 + width * columns)
+        parts = np.cumsum([8, 8 * n, *[width * n] * columns])
+        _maps[folder, name] = [raw[a:b].view(np.uint64 if k == 0 or width == 8 else np.uint32) for k, (a, b) in enumerate(zip(parts, parts[1:]))]
     return _maps[folder, name]
 
 
@@ -243,24 +258,25 @@ def told(rows: list[tuple[str, int, int]]) -> list[tuple[int, int, bytes]]:
     return [({"words": 10, "before": 11, "pairs": 12}[kind], k, n.to_bytes(8, "big", signed=True)) for kind, k, n in rows]
 
 
-def train(training: DataFrame, *, ranges: int = RANGES) -> dict:
+def train(training: DataFrame, *, ranges: int | None = None) -> dict:
     """Counts training (doc_id, text), writes the model, and returns its description: folder, ranges, N, V, discounts and sums."""
     spark = training.sparkSession
+    ranges = ranges or ranges_for(training, RANGE_BYTES)
     folder = new_folder(spark, "model")
 
     def add_pairs(r: int, rows: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         if own := [data for kind, data in rows if kind == WORDS]:  # added here, they go on to the next step
             h, count = words_from(own)
-            out.append((WORDS, r, h.tobytes() + count.clip(0, 2**32 - 1).astype(np.uint32).tobytes()))
+            out.append((WORDS, r, words_blob(h, count)))
         if blobs := [data for kind, data in rows if kind == PAIRS]:
             first, second, count = pairs_from(blobs)
             begins = runs(first)
             ones = [sums((count == k if k < 3 else count >= 3).astype(np.int64), begins) for k in (1, 2, 3)]
-            put(folder, f"firsts-{r}", [first[begins], *(a.clip(0, 2**32 - 1).astype(np.uint32) for a in (sums(count, begins), *ones))])
+            put(folder, f"firsts-{r}", first[begins], sums(count, begins), *ones)
             h = pair_hash(first, second)
             order = np.argsort(h)
-            put(folder, f"pairs-{r}", [h[order], count[order].clip(0, 2**32 - 1).astype(np.uint32)])
+            put(folder, f"pairs-{r}", h[order], count[order])
             out += told(counts_of_counts("pairs", count))
             del first, h, order
             out += words_blobs(FOLLOWS, *np.unique(second, return_counts=True), ranges)
@@ -268,12 +284,12 @@ def train(training: DataFrame, *, ranges: int = RANGES) -> dict:
 
     def add_words(r: int, rows: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
         out = [(kind, r, data) for kind, data in rows if kind >= 10]
-        h, count = words_from([data for kind, data in rows if kind == WORDS] or [b""])
+        h, count = words_from([data for kind, data in rows if kind == WORDS])
         if len(h):
-            b, before = words_from([data for kind, data in rows if kind == FOLLOWS] or [b""])
+            b, before = words_from([data for kind, data in rows if kind == FOLLOWS])
             all_before = np.zeros(len(h), np.int64)
             all_before[np.searchsorted(h, b)] = before  # each second word is a word of training
-            put(folder, f"words-{r}", [h, *(a.clip(0, 2**32 - 1).astype(np.uint32) for a in (count, all_before))])
+            put(folder, f"words-{r}", h, count, all_before)
             out += told(counts_of_counts("words", count) + counts_of_counts("before", all_before))
         yield as_batch(out)
 
