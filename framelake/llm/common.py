@@ -70,6 +70,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ranges_for(df: DataFrame, bytes_a_range: int, least: int = 8, most: int = 1 << 14, unknown: int = 64) -> int:
+    """How many ranges of a hash an input is dealt to, so that a range's share doesn't grow with it: a power of two, by the size of the files that Spark's plan knows of; nothing is read."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 60:  # Spark's default where it knows nothing
+        return unknown
+    return min(most, max(least, 1 << max(0, -(-size // bytes_a_range) - 1).bit_length()))
+
+
 def slices_of(batch: pa.RecordBatch, column: int | str, limit: int) -> Iterator[pa.RecordBatch]:
     """batch in parts, without a copy, whose strings in column have about limit bytes together; a longer one comes alone."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)

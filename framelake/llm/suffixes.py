@@ -29,11 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm.common import batches_of, materialize, table, texts
+from framelake.llm.common import batches_of, materialize, ranges_for, table, texts
 
 LENGTH = 100
 ANCHOR = 32
-RANGES = 64
+#: Bytes of the input's files for each range, in which anchors meet.
+RANGE_BYTES = 8 << 20
 #: Runs that a worker gathers before it sends them, kinds of runs of an anchor that are sorted in one task, and symbols sorted at once.
 BATCH_RUNS = 400_000
 HOT = 2000
@@ -266,10 +267,11 @@ def cut_pieces(touched: DataFrame, ranges: int) -> DataFrame:
         if held:
             anchor, doc, first, n = map(np.concatenate, zip(*held))
             r = spread(anchor, ranges)
-            for k in np.unique(r):
-                at = np.flatnonzero(r == k)
+            order = np.argsort(r, kind="stable")
+            begins = np.flatnonzero(changes(r[order]))
+            for at in np.split(order, begins[1:]):
                 head = pack(0, 0, (anchor[at], doc[at], first[at], n[at]))[2]
-                rows.append((PIECES, int(k), len(head).to_bytes(8, "little") + head + b"".join(data[i] for i in at)))
+                rows.append((PIECES, int(r[at[0]]), len(head).to_bytes(8, "little") + head + b"".join(data[i] for i in at)))
         if windows:
             a, b, doc, first = map(np.concatenate, zip(*windows))
             rows += by_range(spread(a, ranges), WINDOWS, (a, b, doc, first, np.ones(len(a))), ranges)
@@ -453,8 +455,9 @@ def numbered(docs: DataFrame) -> DataFrame:
     return materialize(plain.orderBy("doc_id", "text").withColumn("n", F.monotonically_increasing_id()), "numbered")
 
 
-def remove_repeats(docs: DataFrame, *, ranges: int = RANGES, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, ranges: int | None = None, with_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept binary]) of each row of docs."""
+    ranges = ranges or ranges_for(docs, RANGE_BYTES)
     own = numbered(docs)
     plain = own.select(F.col("n").alias("doc_id"), "text")
     step = materialize(grouped(batch_runs(plain, ranges), ranges, repeated_runs, BY_DOC), "runs")
