@@ -8,16 +8,17 @@ With whole, none is: of up to CHOICE documents around the end of the partial pas
 The taken stream is divided into blocks of block_words words (a document belongs to the block in which it starts), and blocks are
 dealt to output shards by a splitting tree: a node knows how many blocks of each source it holds; its left child gets its share
 of the blocks, whose sources follow a multivariate hypergeometric draw (source by source, each given those before), its right
-child the rest. A leaf's counts are the exact quota of a shard. The blocks of a source are permuted, and each shard takes the
-next so many: the draws are disjoint and use up each quota. Within a shard, rows are put in the order of another hash.
+child the rest. A leaf's counts are the exact quota of a shard. The blocks of a source are permuted (by a keyed permutation of their
+numbers, computed for each one by itself), and each shard draws the next so many: the draws are disjoint and use up each quota. Within a
+shard, rows are put in the order of another hash: resampled() deals them by shard and the leading bits of that order, and sorts.
 
 A running sum over a source never meets in one task: each source is dealt to buckets by the hash that orders it, sums are made by
 bucket, and a running sum within a bucket starts at the sum of the buckets before. Tables of one row a source (or a source
-and bucket) are the only ones that are gathered.
+and bucket) are the only ones that are gathered. The number of buckets grows with the number of rows.
 
 Defined results: a null text has size 0; a null source is a source of its own, the last; documents of size 0 are taken 0 times, as
 are all documents where all sizes are 0; rows with the same id count as documents of their own; an empty table gives an empty
-result. Columns of the input are kept where mix() gets them; its own begin with an underscore.
+result. The input's columns are kept as one struct, so that no name of theirs can clash with one that is made here.
 """
 
 from __future__ import annotations
@@ -33,13 +34,17 @@ SHARE = 1.5  # of all sizes
 MOST = 2  # times its size that a source is taken
 BLOCK_WORDS = 4096
 SHARDS = 16
+#: Buckets of a source: so many at least, and one for so many rows of the input.
 BUCKETS = 1024
+BUCKET_ROWS = 50_000
 #: Documents of a source among which the end of a pass is chosen where all are taken whole: all of their 2 ** CHOICE subsets are tried.
 CHOICE = 12
 #: The share of its target by which a source may be moved so that the sum of all is near.
 CLOSE = 0.02
-#: A prime number above any block's rank times which the ranks of a source's blocks are permuted.
-STRIDE = 2_147_483_647
+#: Rounds of the permutation, and how often it is applied to come back into its range (outside of it are fewer numbers than the root of the range).
+ROUNDS, WALKS = 6, 64
+#: Parts of a shard, by the leading bits of its rows' order.
+PARTS = 4096
 
 
 def words(text: Column) -> Column:
@@ -143,13 +148,29 @@ def choices(keyed: DataFrame, starts: DataFrame, own: WindowSpec) -> DataFrame:
     return best.select(F.col("source").alias("_c"), F.expr("n._start").alias("_near"), F.expr("transform(filter(n, (d, k) -> shiftright(best, k) % 2 = 1), d -> d._start)").alias("_took"))
 
 
-def mix(docs: DataFrame, size: Column, *, share: float = SHARE, most: int = MOST, shards: int = SHARDS, block_words: int = BLOCK_WORDS, buckets: int = BUCKETS, seed: int = SEED, whole: bool = False) -> DataFrame:
-    """docs with _size, _source_size, _target and _draws: an array of (pass, words, shard, place) for each time that the mix takes words of the row; words below _size: the first so many (never with whole)."""
-    keyed = docs.withColumn("_size", size).withColumn("_hash", F.xxhash64(F.lit(seed), F.col("doc_id").cast("string")))
-    keyed = keyed.withColumn("_bucket", F.pmod(F.shiftrightunsigned("_hash", 20), F.lit(buckets)).cast("int"))
-    keyed = keyed.withColumn("_tie", F.md5(F.col("text").cast("binary")) if "text" in docs.columns else F.lit(""))
-    narrow = keyed.select("doc_id", "source", "_size", "_hash", "_bucket", "_tie")
-    narrow = materialize(narrow, "mix") if whole else narrow
+def permuted(j: str, n: str, key: str) -> str:
+    """SQL: the place of j among the numbers below n under a permutation by key.
+
+    j is written as two digits, of which each in turn is moved by a hash of the other; what falls beyond n is moved again.
+    """
+    let = lambda name, value, body: f"transform(array({value}), {name} -> {body})[0]"
+    one = "named_struct('l', s.x div b, 'r', s.x % b)"
+    for k in range(ROUNDS):
+        moved = f"named_struct('l', pmod(t.l + pmod(xxhash64({key}, {k}, t.r), a), a), 'r', t.r)" if k % 2 == 0 else f"named_struct('l', t.l, 'r', pmod(t.r + pmod(xxhash64({key}, {k}, t.l), b), b))"
+        one = let("t", one, moved)
+    walk = let("u", one, "named_struct('x', u.l * b + u.r, 'w', s.w + 1)")
+    walks = f"aggregate(sequence(1, {WALKS}), named_struct('x', {j}, 'w', 0), (s, i) -> if(s.w > 0 AND s.x < {n}, s, {walk})).x"
+    return f"if({n} <= 1, 0L, {let('a', f'cast(ceil(sqrt(cast({n} AS double))) AS bigint)', let('b', f'cast(ceil({n} / cast(a AS double)) AS bigint)', walks))})"
+
+
+def mix(docs: DataFrame, size: Column, *, share: float = SHARE, most: int = MOST, shards: int = SHARDS, block_words: int = BLOCK_WORDS, buckets: int | None = None, seed: int = SEED, whole: bool = False) -> DataFrame:
+    """(row, size, source_size, target, draws) of each row of docs; row: a struct of its columns; draws: an array of (pass, words, shard, place) for each time that the mix takes words of it; words below size: the first so many (never with whole)."""
+    tie = F.md5(F.col("text").cast("binary")) if "text" in docs.columns else F.lit("")
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id"), F.col("source"), size.alias("_size"), F.xxhash64(F.lit(seed), F.col("doc_id").cast("string")).alias("_hash"), F.coalesce(tie, F.lit("")).alias("_tie"))
+    narrow = materialize(keyed.drop("row"), "mix")
+    buckets = buckets or max(BUCKETS, 1 << (narrow.count() // BUCKET_ROWS).bit_length())
+    bucket = F.pmod(F.shiftrightunsigned("_hash", 20), F.lit(buckets)).cast("int")
+    keyed, narrow = keyed.withColumn("_bucket", bucket), narrow.withColumn("_bucket", bucket)
     sums = materialize(narrow.groupBy("source", "_bucket").agg(F.sum("_size").alias("_sum")), "mix")
     aimed = targets(sums.groupBy("source").agg(F.sum("_sum").alias("source_size")), share=share, most=most)
     passes = F.when(F.col("source_size") > 0, F.floor(F.floor("target") / F.col("source_size"))).otherwise(0).cast("long")
@@ -171,29 +192,36 @@ def mix(docs: DataFrame, size: Column, *, share: float = SHARE, most: int = MOST
         starts = starts.join(chosen, F.col("_s").eqNullSafe(F.col("_c")), "left").drop("_c")
     placed = keyed.withColumn("_start", F.coalesce(F.sum("_size").over(own), F.lit(0)))
     placed = placed.join(starts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b"))).withColumn("_start", F.col("_start") + F.col("_before"))
-    draws = (
-        "filter(transform(sequence(0L, _passes), p -> transform(array(p * _per_pass + if(p < _passes, _start, least(_start, greatest(0L, _rest - 1))) div {b}), j -> transform(array(pmod(pmod(j, greatest(blocks, 1)) * {stride} + _s_off, greatest(blocks, 1))), r ->"
-        " named_struct('pass', p, 'words', if(p < _passes, _size, {part}), 'shard', size(filter(ends, e -> e <= r)), 'place', xxhash64(_hash, p)))[0])[0]), d -> d.words > 0)"
-    ).format(b=block_words, stride=STRIDE, part="CASE WHEN _near IS NULL THEN greatest(0L, least(_size, _rest - _start)) WHEN if(array_contains(_near, _start), array_contains(_took, _start), _start < _rest) THEN _size ELSE 0L END")
-    out = placed.withColumn("_s_off", F.pmod(F.coalesce(F.xxhash64("source", F.lit(seed)), F.lit(0)), F.lit(1_000_003))).withColumn("_draws", F.expr(draws))
-    return out.select(*docs.columns, "_size", F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), "_draws")
+    part = "CASE WHEN _near IS NULL THEN greatest(0L, least(_size, _rest - _start)) WHEN if(array_contains(_near, _start), array_contains(_took, _start), _start < _rest) THEN _size ELSE 0L END"
+    words_of = f"filter(transform(sequence(0L, _passes), p -> named_struct('p', p, 'words', if(p < _passes, _size, {part}))), d -> d.words > 0)"
+    block = f"d.p * _per_pass + if(d.p < _passes, _start, least(_start, greatest(0L, _rest - 1))) div {block_words}"
+    draws = f"transform(_takes, d -> transform(array({permuted(f'({block})', 'blocks', '_key')}), r -> named_struct('pass', d.p, 'words', d.words, 'shard', size(filter(ends, e -> e <= r)), 'place', xxhash64(_hash, _tie, d.p)))[0])"
+    out = placed.withColumn("_key", F.coalesce(F.xxhash64("source", F.lit(seed)), F.lit(0))).withColumn("_takes", F.expr(words_of)).withColumn("draws", F.expr(draws))
+    return out.select("row", F.col("_size").alias("size"), "source_size", "target", "draws")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    narrow = materialize(table(spark, sf_dir, "documents").select("doc_id", "source", words(F.col("text")).alias("size")), "sizes")
-    taken = F.expr("aggregate(_draws, 0L, (s, d) -> s + d.words)")
-    return mix(narrow, F.col("size")).select(
-        "doc_id", "size", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), taken.alias("taken"), F.concat_ws(",", F.expr("transform(_draws, d -> cast(d.shard AS string))")).alias("shards")
-    )
+    narrow = table(spark, sf_dir, "documents").select("doc_id", "source", words(F.col("text")).alias("size"))
+    narrow = materialize(narrow, "sizes")
+    taken = F.expr("aggregate(draws, 0L, (s, d) -> s + d.words)")
+    return mix(narrow, F.col("size")).select("row.doc_id", "size", "source_size", "target", taken.alias("taken"), F.concat_ws(",", F.expr("transform(draws, d -> cast(d.shard AS string))")).alias("shards"))
+
 
+def resampled(docs: DataFrame, *, parts: int = PARTS, **options) -> DataFrame:
+    """docs as the mix takes them, a row for each draw. With whole=True, rows are as they were; without, where a draw takes a part, text is its first so many words, a space between two, and n_chars (if there) is counted anew.
 
-def resampled(docs: DataFrame, **options) -> DataFrame:
-    """docs as the mix takes them: a row for each draw, with whole=True as it is; without, where a draw takes a part, text is its first so many words, a space between two, and n_chars (if there) is counted anew. A shuffle by (shard, place) is left to the writer."""
-    drawn = mix(docs, words(F.col("text")), **options).withColumn("_draw", F.explode("_draws"))
-    cut = F.col("_draw.words") < F.col("_size")
-    own = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
-    part = F.array_join(F.slice(own, F.lit(1), F.col("_draw.words").cast("int")), " ")
-    drawn = drawn.withColumn("text", F.when(cut, part).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        drawn = drawn.withColumn("n_chars", F.when(cut, F.char_length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
-    return drawn.select(*docs.columns)
+    Rows are shuffled locally: those of a shard and a part of it lie in one partition, in the order of shard and place. So a shard's rows are its
+    parts, one after another; there are many more parts than partitions, whose number is the session's (spark.sql.shuffle.partitions).
+    """
+    drawn = mix(docs, words(F.col("text")), **options).withColumn("draw", F.explode("draws"))
+    cut = F.col("draw.words") < F.col("size")
+    text = F.col("row.text")
+    own = F.filter(F.split(text, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    part = F.array_join(F.slice(own, F.lit(1), F.col("draw.words").cast("int")), " ")
+    fresh = {"text": F.when(cut, part).otherwise(text)} if not options.get("whole") else {}
+    if fresh and "n_chars" in docs.columns:
+        fresh["n_chars"] = F.when(cut, F.char_length(part).cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("row.n_chars"))
+    row = F.struct(*[fresh.get(c, F.col("row")[c]).alias(c) for c in docs.columns]).alias("row")
+    dealt = drawn.select(row, F.col("draw.shard").alias("shard"), F.col("draw.place").alias("place"))
+    dealt = dealt.repartition(F.col("shard"), F.shiftrightunsigned("place", 64 - (parts - 1).bit_length())).sortWithinPartitions("shard", F.col("place").bitwiseXOR(F.lit(-(2**63))))
+    return dealt.select(*[F.col("row")[c].alias(c) for c in docs.columns])
