@@ -3,19 +3,20 @@
 A legal conversation has at most one system turn, at its start, then user and assistant turns in alternation, beginning with the
 user and ending with the assistant. A dynamic program over the automaton of legal prefixes reads the turns in order and chooses
 for each: keep its role, give it another one, or merge it with the turn before; empty turns may be inserted before it or at
-the end. The sequence of least total cost is rendered; among equal ones, the choice that comes first in the fixed order of states
-and actions.
+the end. The sequence of least total cost is rendered; among equal ones, the one with the lowest states at the ends of chunks, and within
+a chunk the choices that come first in the fixed order of states and actions (so the chunk's size may choose among equal ones).
 
 States: nothing yet, after system, after user, after assistant. A turn is a matrix of the costs from state to state, and
 costs of turns one after another are their product with (min, +). So a long conversation is cut into chunks of turns: each
 chunk's matrix is computed by itself, the chunks' matrices are multiplied along each conversation, and then each chunk is
-traced back on its own from the states at its two ends. No task holds more than a chunk's turns or a conversation's matrices.
+traced back on its own from the states at its two ends. No task holds more than a chunk's turns or a conversation's matrices. A
+chunk is a range of turn numbers; where many turns share a few numbers, it is cut by number and by a hash of role and text.
 
 Rendering is by turn: a header and the text, or for a merged turn its text alone; so the rendered conversation is its turns' pieces
 in order, and no task gathers a whole one.
 
 Defined results: a null or unknown role has no preferred role and becomes the cheapest legal one; a null text counts as empty; turns of
-one number stand in the order of role and text, and repeated rows are turns of their own; a null turn comes first; rows of a null conversation form one.
+one number stand in the order of a hash of role and text, then of these, and repeated rows are turns of their own; a null turn comes first; rows of a null conversation form one.
 An empty table gives an empty result; other columns are never read.
 """
 
@@ -155,18 +156,33 @@ def by_chunk(rows: DataFrame, columns: list[str], settle, schema: str) -> DataFr
     def as_batch(out: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
-    return rows.repartition("conv_id", "chunk").sortWithinPartitions("conv_id", "chunk", "turn", "role", "text").select(*columns).mapInArrow(run, schema)
+    return rows.repartition("conv_id", "chunk").sortWithinPartitions("conv_id", "chunk", "turn", "tie", "role", "text").select(*columns).mapInArrow(run, schema)
+
+
+def chunked(rows: DataFrame, chunk: int) -> DataFrame:
+    """rows (conv_id, turn, role, text) with tie and chunk, whose order is that of turns: (range of numbers, number, part of the ties) in one string.
+
+    Only ranges that hold more than twice chunk rows are cut further; what tells them is a row for each of these.
+    """
+    tie = F.xxhash64("role", "text")
+    rows = rows.withColumn("tie", tie).withColumn("range", F.coalesce(F.floor(F.col("turn") / chunk), F.lit(-(2**53))).cast("long"))
+    crowded = rows.groupBy("conv_id", "range").agg(F.count("*").alias("n")).where(F.col("n") > 2 * chunk)
+    crowded = crowded.select(F.col("conv_id").alias("c"), F.col("range").alias("r"), F.least(F.lit(48), F.ceil(F.log2(F.col("n") / chunk))).cast("int").alias("bits"))
+    told = rows.join(materialize(crowded, "crowded"), F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("range") == F.col("r")), "left")
+    ordered = lambda x: F.lpad(F.hex(x.bitwiseXOR(F.lit(-(2**63)))), 16, "0")  # noqa: E731  as text, in the order of the numbers
+    part = F.concat(ordered(F.coalesce("turn", F.lit(-(2**63)))), ordered(F.expr("shiftright(tie, 64 - bits)")))
+    return told.withColumn("chunk", F.concat(ordered(F.col("range")), F.when(F.col("bits").isNull(), "").otherwise(part))).drop("c", "r", "bits", "range")
 
 
 def repair(turns: DataFrame, *, chunk: int = CHUNK) -> DataFrame:
     """(conv_id, turn, place, role, new_role, action, inserted, piece) of each row of turns; a conversation's text is its pieces by place."""
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("chunk", F.coalesce(F.floor(F.col("turn") / chunk), F.lit(-(2**53))).cast("long"))
+    rows = chunked(rows, chunk)
 
     def matrix(held: list[tuple]) -> list[tuple]:
         return [(*held[0][:2], len(held), chunk_matrix([role_number(x[2]) for x in held]).ravel().tolist())]
 
-    matrices = materialize(by_chunk(rows, ["conv_id", "chunk", "role"], matrix, "conv_id long, chunk long, n long, m array<double>"), "chat")
+    matrices = materialize(by_chunk(rows, ["conv_id", "chunk", "role"], matrix, "conv_id long, chunk string, n long, m array<double>"), "chat")
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -177,7 +193,7 @@ def repair(turns: DataFrame, *, chunk: int = CHUNK) -> DataFrame:
             return [(x[0], x[1], first[k], s, t, int(k == len(held) - 1)) for k, (x, (s, t)) in enumerate(zip(held, found))]
 
         def as_batch(out: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k < 3 else pa.int32()) for k, c in enumerate(zip(*out))], ["conv_id", "chunk", "first", "s", "t", "last"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.string(), pa.int64(), *[pa.int32()] * 3))], ["conv_id", "chunk", "first", "s", "t", "last"])
 
         for batch in batches:
             out: list[tuple] = []
@@ -191,7 +207,7 @@ def repair(turns: DataFrame, *, chunk: int = CHUNK) -> DataFrame:
         if held:
             yield as_batch(settle())
 
-    states = matrices.repartition("conv_id").sortWithinPartitions("conv_id", "chunk").mapInArrow(ends, "conv_id long, chunk long, first long, s int, t int, last int")
+    states = matrices.repartition("conv_id").sortWithinPartitions("conv_id", "chunk").mapInArrow(ends, "conv_id long, chunk string, first long, s int, t int, last int")
     states = states.select(F.col("conv_id").alias("c"), F.col("chunk").alias("k"), "first", "s", "t", "last")
     told = rows.join(states, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("chunk") == F.col("k")))
 
