@@ -19,8 +19,9 @@ from framelake.llm.common import materialize, table, texts
 
 K = 128
 SHINGLE = 5
-#: Neighbours in the order of ids meet in groups of so many ids.
+#: Neighbours in the order of ids meet in groups of so many ids; of more where ids are sparse, up to so many rows.
 IDS_A_GROUP = 1024
+ROWS_A_GROUP = 1024
 
 
 def let(value: Column, body) -> Column:
@@ -80,17 +81,32 @@ def spelled(s: Column) -> Column:
     return F.array_join(F.transform(s, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
 
 
-def with_next(rows: DataFrame, columns: list[str], group: int = IDS_A_GROUP) -> DataFrame:
+def ids_a_group(rows: DataFrame, least: int = IDS_A_GROUP, rows_a_group: int = ROWS_A_GROUP) -> int:
+    """How many neighbouring ids form a group: more where ids are sparse, so that a group has rows enough and few of its rows are sent twice; never so many that groups grow large."""
+    ids = rows.where("doc_id IS NOT NULL").select("doc_id")
+    width = least
+    while True:
+        groups = ids.groupBy(F.floor(F.col("doc_id") / width)).count()
+        n, most, total = groups.agg(F.count("*"), F.coalesce(F.max("count"), F.lit(0)), F.coalesce(F.sum("count"), F.lit(0))).first()
+        if n < 2 or most >= rows_a_group or total >= n * rows_a_group // 16 or width >= 1 << 56:
+            return width
+        width *= 16
+
+
+def with_next(rows: DataFrame, columns: list[str], group: int | None = None) -> DataFrame:
     """rows (with doc_id) with next_<column>: of the row that comes next by descending doc_id; after the last one, the first.
 
-    Rows of group neighbouring ids meet in one task. The row that follows a group's last one is the first of the next group: it is
-    sent to both. A null id counts as the lowest; rows of one id stand in the order of the columns.
+    Rows of neighbouring ids meet in one task. The row that follows a group's last one is the first of the next group: it is sent to
+    both. A null id counts as the lowest; rows of one id stand in the descending order of a hash of the first of columns, then by columns; rows
+    without id are dealt to groups by that hash.
     """
-    own = F.coalesce(F.floor(F.col("doc_id") / group), F.lit(-(2**62))).cast("long")
-    key = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
+    group = group or ids_a_group(rows)
+    tie = F.xxhash64(columns[0])
+    own = F.coalesce(F.floor(F.col("doc_id") / group).cast("long"), F.lit(-(2**62)) + F.shiftright(tie, 54))
+    key = F.struct(F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("id"), tie.alias("tie"))
     tops = rows.select(own.alias("group"), key.alias("top")).groupBy("group").agg(F.max("top").alias("top"))
     # The top of a group is also the end of the group above; that of the highest group ends the lowest.
-    wide = F.floor(F.col("group") / group)
+    wide = F.floor(F.col("group") / IDS_A_GROUP)
     levels = tops.withColumn("wide", wide)
     inside = levels.withColumn("above", F.lead("group").over(Window.partitionBy("wide").orderBy("group")))
     ends = levels.groupBy("wide").agg(F.min("group").alias("low"))
