@@ -6,6 +6,7 @@ import random
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -177,6 +178,22 @@ def test_neighbours_in_ids_across_groups(spark):
     assert found == {i * 700 - 2000: str((i - 1) % 12) for i in range(12)}
 
 
+def test_neighbours_of_rows_without_ids_or_with_distant_ones(spark):
+    plain = [(None, f"none {k}") for k in range(300)] + [((k * 0x9E3779B97F4A7C15 % 2**63) - 2**62, f"far {k}") for k in range(300)] + [(5, "five a"), (5, "five b")]
+    rows = spark.createDataFrame(plain, "doc_id long, text string").repartition(3)
+    found = fingerprints.with_next(rows, ["text"]).collect()
+    follows = {r.text: r.next_text for r in found}
+    assert len(found) == len(plain) and sorted(follows.values()) == sorted(follows)  # one circle's steps
+    ids = {t: i for i, t in plain}
+    at, seen = max((i, t) for i, t in plain if i is not None)[1], []
+    for _ in plain:
+        seen.append(at)
+        at = follows[at]
+    assert sorted(seen) == sorted(ids) and [i for t in seen if (i := ids[t]) is not None] == sorted((i for i, _ in plain if i is not None), reverse=True)
+    assert all(ids[t] is None for t in seen[-300:])
+    assert fingerprints.ids_a_group(rows) > 1 << 40 and fingerprints.ids_a_group(spark.range(5000).withColumnRenamed("id", "doc_id")) == 1024
+
+
 def test_merged_sketches(spark):
     rows = spark.createDataFrame([("a", t) for t in LETTERS[:6]] + [("b", LETTERS[7])], "k string, text string")
     found = {r.key: r.sketch for r in fingerprints.merge_by(rows.select("k", fingerprints.sketch(F.col("text"), 16).alias("s")), "k", "s", 16, 4).collect()}
@@ -209,11 +226,12 @@ def test_mixing(spark, hard, empty, docs):
             sizes[r.source] += len((r.text or "").encode().split())
         expected, taken, shards = targets_of(dict(sizes)), Counter(), Counter()
         for r in once:
-            assert r._source_size == sizes[r.source] and abs(r._target - expected[r.source]) < 1e-6 * max(1, r._target)
-            own = sum(d.words for d in r._draws)
-            assert own <= 2 * r.size
-            taken[r.source] += own
-            shards.update(d.shard for d in r._draws)
+            source = r.row.source
+            assert r.source_size == sizes[source] and abs(r.target - expected[source]) < 1e-6 * max(1, r.target)
+            own = sum(d.words for d in r.draws)
+            assert own <= 2 * r["size"] and r["size"] == r.row["size"]
+            taken[source] += own
+            shards.update(d.shard for d in r.draws)
         for s, t in expected.items():
             assert abs(taken[s] - t) <= 1
         assert set(shards) <= set(range(5)) and len(shards) == 5
@@ -246,6 +264,35 @@ def test_mixing_whole(spark, hard, empty):
     assert corpus_pipeline.mixed(spark, empty, "").count() == 0
 
 
+def test_names_of_a_table_of_ones_own(spark):
+    """Columns that are called like those that operators make keep their values."""
+    names = ["_size", "_hash", "_start", "_bucket", "row", "draws", "draw", "shard", "place", "size", "target", "id", "rep", "grams", "group_id", "class_id", "_row", "_kept", "_id", "toxic", "order", "spans", "_group", "_key"]
+    rows = [(i, f"{LETTERS[i % 20]} {i}", "s", *[f"{n} {i}" for n in names]) for i in range(60)]
+    table = spark.createDataFrame(rows, ["doc_id", "text", "source", *names]).repartition(3)
+    for out in (mixing.resampled(table, whole=True), mixing.resampled(table), jaccard.deduplicate(table), secrets.redact(table, secrets.vocabulary_path()), toxicity.rejecting(table, 0.0)):
+        found = out.collect()
+        assert out.columns == table.columns and found
+        assert all(r[n] == f"{n} {r.doc_id}" for r in found for n in names)
+
+
+def test_rows_of_a_shard_are_shuffled(spark):
+    rows = [(i, " ".join(["w"] * (1 + i % 30)), f"s{i % 3}") for i in range(400)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    ids = [r.doc_id for r in mixing.resampled(table, whole=True, shards=4, block_words=20).collect()]
+    assert sum(a < b for a, b in zip(ids, ids[1:])) < 0.7 * len(ids) and ids == [r.doc_id for r in mixing.resampled(table, whole=True, shards=4, block_words=20).collect()]
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 14, 97, 341, 1000])
+def test_blocks_are_permuted(spark, n):
+    places = [[r.x for r in spark.range(n).selectExpr(f"{mixing.permuted('id', f'{n}L', f'{key}L')} AS x").collect()] for key in (1, 2)]
+    assert all(sorted(p) == list(range(n)) for p in places)
+    if n >= 14:
+        assert places[0] != places[1]
+        for p in places:
+            steps = Counter((b - a) % n for a, b in zip(p, p[1:]))
+            assert max(steps.values()) <= max(4, n // 10)  # no rotation
+
+
 def test_quotas_are_split_exactly(spark):
     quotas = spark.createDataFrame([("a", 1000), ("b", 37), (None, 12), ("c", 0)], "source string, blocks long")
     found = {r.source: r.ends for r in mixing.shard_quotas(quotas, 6, 1).collect()}
@@ -280,10 +327,12 @@ def test_ngrams(spark, hard, empty, docs):
         for (a, _), c in pair.items():
             first.setdefault(a, []).append(c)
 
+        d, e = model["lower"], model["upper"]
+        left = sum(d[min(x, 3) - 1] for x in follows.values()) / len(pair) / (v + 1)
+
         def p(a, b):
-            d, e = model["lower"], model["upper"]
             f = follows[b]
-            low = max(0, f - (0, *d)[min(f, 3)]) / len(pair) + sum(d[min(x, 3) - 1] for x in follows.values()) / len(pair) / (v + 1)
+            low = max(0, f - (0, *d)[min(f, 3)]) / len(pair) + left
             if a not in first:
                 return low
             c = pair[a, b]
@@ -299,6 +348,47 @@ def test_ngrams(spark, hard, empty, docs):
     assert [(r.base_score, r.score) for r in ngrams.score(plain.limit(2), nothing, F.lit(True)).collect()] == [(0, 0)] * 2
 
 
+def test_counts_beyond_32_bits(spark, tmp_path):
+    h = np.array([3, 7, 2**63], np.uint64)
+    big = ngrams.words_blob(h, np.array([2**32 - 1, 2**32, 2**40]))
+    small = ngrams.words_blob(h[:2], np.array([1, 5]))
+    found = ngrams.words_from([big, small, big])
+    assert found[0].tolist() == h.tolist() and found[1].tolist() == [2**33 - 1, 2**33 + 5, 2**41]
+    for name, columns in (("a", ([1, 2, 2**50], [0, 1, 2])), ("b", ([1, 2, 2**32 - 1],))):
+        ngrams.put(str(tmp_path), name, h, *map(np.array, columns))
+        assert [x.tolist() for x in ngrams.get(str(tmp_path), name, len(columns))] == [h.tolist(), *map(list, columns)]
+    with np.errstate(over="ignore"):
+        rows = list(ngrams.words_blobs(ngrams.WORDS, h, np.array([2**33, 1, 2]), 4))
+    assert [(k, r) for k, r, _ in rows] == [(ngrams.WORDS, 0), (ngrams.WORDS, 2)]
+
+
+def test_large_counts_reach_the_model(spark, monkeypatch):
+    """The range steps get counts of 2**33 from each batch, as from a corpus that repeats one text so often."""
+    times = 2**33
+    one = ngrams.count_batches
+
+    def many(training, ranges):
+        def run(batches):
+            for b in batches:
+                rows = []
+                for kind, r, data in zip(*(c.to_pylist() for c in b.columns)):
+                    if kind == ngrams.WORDS:
+                        h, count = ngrams.words_from([data])
+                        data = ngrams.words_blob(h, count * times)
+                    rows.append((kind, r, data))
+                yield ngrams.as_batch(rows)
+
+        return one(training, ranges).mapInArrow(run, "kind int, r int, data binary")
+
+    monkeypatch.setattr(ngrams, "count_batches", many)
+    docs = spark.createDataFrame([(1, "a a b")], "doc_id long, text string")
+    model = ngrams.train(docs, ranges=2)
+    assert model["n"] == 4 * times and model["v"] == 3
+    r = ngrams.score(docs, model, F.lit(False)).first()
+    expected = 2 * math.log10((2 * times + 1) / (4 * times + 4)) + 2 * math.log10((times + 1) / (4 * times + 4))
+    assert r.train_tokens == 4 * times and r.n_known == 4 and abs(r.base_score - expected) < 1e-9
+
+
 def test_toxicity(spark, hard, empty):
     labels = spark.createDataFrame([(i * 3, i % 2, None) for i in range(20)] + [(None, 1, 1), (9999, None, 0)], "doc_id long, toxic int, quality int")
     weights = toxicity.learn(hard, labels)
@@ -323,6 +413,138 @@ def test_secrets_and_bpe(spark, hard, empty):
     assert bpe.encode_documents(hard, bpe.vocabulary_path()).count() == hard.count() and bpe.encode_documents(empty, bpe.vocabulary_path()).count() == 0
 
 
+def base_by_hand(text):
+    """The fixed forms, character by character, without regular expressions."""
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    value = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+    run = lambda at, letters: next((k for k in range(at, len(text)) if text[k] not in letters), len(text))
+    skip = lambda at, letters: at + 1 if at < len(text) and text[at] in letters else at
+    found, at = [], 0
+    while at < len(text):
+        end = None
+        for name in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if low.startswith(name, at):
+                k = run(skip(at + len(name), "\"'"), " ")
+                if k < len(text) and text[k] in ":=":
+                    k = skip(run(k + 1, " "), "\"'")
+                    end = run(k, value)
+                    if end > k:
+                        found += [("assign", at, end)] if end - k >= 8 else []
+                    else:
+                        end = None
+                break
+        at = end or at + 1
+    for kind, first, letters, least in (("access", "AKIA", set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 16), ("hex", "", set("0123456789abcdef"), 32)):
+        at = 0
+        while at < len(text):
+            end = run(at + len(first), letters) if text.startswith(first, at) else at
+            if end > at + len(first):
+                found += [(kind, at, end)] if end - at >= least else []
+                at = end
+            else:
+                at += 1
+    return sorted(found, key=lambda x: (x[1], secrets.KINDS.index(x[0])))
+
+
+def test_base_spans_by_hand(spark, hard, docs):
+    r = random.Random(7)
+    parts = ["password", "Passwd", "secret", "TOKEN", "api_key", "apikey", "key", "=", ":", " ", "'", '"', "abc12345", "x", "AKIA", "AKIAABCDEFGHIJKL", "0a1b" * 8, "0a" * 15, "é", "K", "\n", "-", "."]
+    made = spark.createDataFrame([(k, "".join(r.choices(parts, k=r.randint(0, 25)))) for k in range(3000)], "doc_id long, text string")
+    for table in (docs, hard, made):
+        texts = Counter((x.doc_id, x.text or "") for x in table.select("doc_id", "text").collect())
+        found = secrets.scan(table, secrets.vocabulary_path()).collect()
+        expected = Counter()
+        for (i, t), n in texts.items():
+            base = base_by_hand(t)
+            count = Counter(k for k, _, _ in base)
+            digest = hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
+            expected[i, count["assign"], count["access"], count["hex"], digest] += n
+        assert Counter((x.doc_id, x.n_assign, x.n_access, x.n_hex, x.base_sha256) for x in found) == expected
+        assert all(x.n_assign + x.n_access + x.n_hex + x.n_random == (x.spans.count(",") + 1 if x.spans else 0) for x in found)
+
+
+def test_random_runs_by_hand(spark, docs):
+    """Whole runs below the ratio, found by trying each run of the text on its own, are all among the spans."""
+    import tiktoken
+
+    path = secrets.vocabulary_path()
+    ranks, pattern = secrets.vocabulary(spark, path).value
+    encoding = tiktoken.Encoding("plain", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    r = random.Random(21)
+    keys = ["".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", k=r.randint(10, 60))) for _ in range(600)]
+    made = [(10**9 + k, f"{r.choice(LETTERS)} {x}{r.choice(['', '=', '=='])} {r.choice(LETTERS)}") for k, x in enumerate(keys)]
+    docs = docs.select("doc_id", "text").union(spark.createDataFrame(made, "doc_id long, text string"))
+    found = {r.doc_id: r.spans for r in secrets.scan(docs, path).collect()}
+    letters = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
+    checked = 0
+    for r in docs.select("doc_id", "text").collect():
+        text, at, base = r.text or "", 0, base_by_hand(r.text or "")
+        while at < len(text):
+            end = next((k for k in range(at, len(text)) if text[k] not in letters), len(text))
+            if end - at >= 16:
+                end += 2 if text.startswith("==", end) else 1 if text.startswith("=", end) else 0
+                run = text[at:end]
+                mixed = any(c.isdigit() for c in run) and any(c.isalpha() for c in run)
+                digest = len(run) in secrets.DIGESTS and (set(run) <= set("0123456789abcdef") or set(run) <= set("0123456789ABCDEF"))
+                uuid = len(run) == 36 and [len(x) for x in run.split("-")] == [8, 4, 4, 4, 12] and set(run) <= set("0123456789abcdefABCDEF-")
+                if mixed and not digest and not uuid and not any(a <= at and end <= b for _, a, b in base) and len(run) <= 2 * len(encoding.encode_ordinary(run)):
+                    assert f"random:{at}:{end}" in found[r.doc_id].split(",")
+                    checked += 1
+            at = max(end, at + 1)
+    assert checked > 300
+
+
+def test_bpe_of_the_table_is_that_of_the_library(spark, hard, docs):
+    tokenizers = pytest.importorskip("tokenizers")
+    path = bpe.vocabulary_path()
+    library = tokenizers.Tokenizer.from_file(path)
+    library.no_truncation()
+    library.no_padding()
+    for table in (docs, hard):
+        expected = Counter()
+        for r in table.select("doc_id", "text").collect():
+            ids = library.encode(r.text or "", add_special_tokens=False).ids
+            raw = b"".join(i.to_bytes(4, "little") for i in ids)
+            expected[r.doc_id, len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()] += 1
+        assert Counter(map(tuple, bpe.encode_documents(table, path).collect())) == expected
+
+
+def test_bpe_in_pieces(spark, docs, monkeypatch):
+    path = bpe.vocabulary_path()
+    whole = sorted(map(tuple, bpe.encode_documents(docs, path, with_ids=True, with_text=True).collect()))
+    assert all(len(r[4]) == r[1] and hashlib.sha256(r[5].encode()).hexdigest() == r[3] for r in whole)
+    encoder = bpe.Encoder(bpe.load(path))
+    for text in ("a  b\n\nc " * 500, "word" * 300 + " e\u0301 \u0301x " * 100, "<|endoftext|> <|endoftext|>x " * 50, "\u00a0x\u2003y " * 80):
+        for size in (1, 7, 100):
+            assert "".join(bpe.pieces_of(text, size)) == text
+            assert b"".join(encoder.encode(p) for p in bpe.pieces_of(text, size)) == encoder.encode(text)
+
+
+LONG = 1_000_000
+
+
+def test_very_long_texts(spark):
+    r = random.Random(2)
+    words = ["".join(r.choices("aeinrst", k=r.randint(2, 7))) for _ in range(300)]
+    prose = " ".join(r.choices(words, k=LONG // 5))
+    texts = [prose, prose[: LONG // 2] + " end", "x" * LONG, "ab_" * (LONG // 3), "".join(r.choices("abcdefgh0123", k=LONG)), "short text"]
+    table = spark.createDataFrame([(k, t, "s") for k, t in enumerate(texts)], "doc_id long, text string, source string").repartition(2).cache()
+    assert secrets.scan(table, secrets.vocabulary_path()).count() == len(texts)
+    rows = {x.doc_id: x for x in suffixes.remove_repeats(table, ranges=2).collect()}
+    assert rows[2].n_removed == LONG - 1 and rows[1].n_removed >= LONG // 2 - 100 and rows[5].n_removed == 0
+    assert {x.doc_id: x.n_chars for x in fingerprints.fingerprint_documents(table).collect()} == {k: len(t) for k, t in enumerate(texts)}
+    assert sum(x.words for x in mixing.resampled(table, whole=True).select(mixing.words(F.col("text")).alias("words")).collect()) > LONG // 6
+    assert toxicity.score(table, toxicity.new_weights()).count() == len(texts)
+    model = ngrams.train(table.select("doc_id", "text"), ranges=2)
+    assert {x.doc_id: x.n_tokens for x in ngrams.score(table.select("doc_id", "text"), model, F.lit(False)).collect()} == {k: len(t.split()) + 1 for k, t in enumerate(texts)}
+    assert len({x.class_id for x in jaccard.near_duplicates(table).collect()}) == len(texts)
+    library = pytest.importorskip("tokenizers").Tokenizer.from_file(bpe.vocabulary_path())
+    counted = {x.doc_id: x.n_tokens for x in bpe.encode_documents(table, bpe.vocabulary_path()).collect()}
+    assert counted == {k: len(library.encode(t, add_special_tokens=False).ids) for k, t in enumerate(texts)}
+    turns = spark.createDataFrame([(1, k, "user", t) for k, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
+    assert chat.repair(turns).count() == len(texts)
+
+
 def test_secrets_joined_to_words(spark):
     path, r = secrets.vocabulary_path(), random.Random(3)
     bare = ["".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=24)) for _ in range(200)]
@@ -352,6 +574,22 @@ def test_nearest_neighbours(spark):
     assert neighbours.k_nearest(table.where("false").select("vec_id", "embedding"), F.lit(True)).count() == 0
 
 
+def test_turns_of_one_number(spark):
+    rows = [(1, None if k % 3 else 7, ["user", "assistant", "system"][k % 5 % 3], f"text {k % 40}") for k in range(300)] + [(2, k, ["user", "assistant"][k % 2], str(k)) for k in range(20)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    def cost(r):
+        n = len([x for x in r.inserted.replace("|", ",").split(",") if x])
+        return chat.INSERT * n + (chat.MERGE if r.action == "merge" else 0) + (chat.RELABEL if r.role != r.new_role else 0)
+
+    out = {n: chat.repair(table, chunk=n).collect() for n in (4, 512)}
+    turns = {n: sorted((r.conv_id, r.place, r.turn, r.role, r.piece.split("\n")[-1] or r.piece.split("\n")[-2]) for r in rows_) for n, rows_ in out.items()}
+    assert [x[:4] for x in turns[4]] == [x[:4] for x in turns[512]] and len(out[4]) == len(rows)
+    assert sum(map(cost, out[4])) == sum(map(cost, out[512])) and [x[1] for x in turns[4]] == [*range(300), *range(20)]
+    plain = table.select("conv_id", "turn", "role", "text")
+    sizes = [r["count"] for r in chat.chunked(plain, 4).groupBy("conv_id", "chunk").count().collect()]
+    assert max(sizes) <= 40
+
+
 def test_chat(spark):
     rows = [(1, 0, "assistant", "hi"), (1, 1, "user", None), (1, 2, "user", "b"), (1, 3, None, "c"), (2, 0, "system", "s"), (3, 0, "human", "x"), (3, 1, "gpt", "y"), (3, 1, "gpt", "y"), (None, None, "user", "z")]
     rows += [(4, k, ["user", "assistant"][k % 2], str(k)) for k in range(25)]

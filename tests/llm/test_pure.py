@@ -87,6 +87,112 @@ def test_nearest_is_exact():
         assert [j for _, j in found[i]] == [int(j) + 100 for j in np.lexsort((np.arange(300), d))[:5]]
 
 
+def near_by_sorting(q, c, k):
+    return [[int(j) for j in np.lexsort((np.arange(len(c)), neighbours.distances(x, c)))[:k]] for x in q]
+
+
+def test_nearest_is_exact_where_rounding_is_large():
+    rng = np.random.default_rng(4)
+    line = rng.choice([-1.0, 1.0], 16)
+    cases = {
+        "far from the origin": 1000 + rng.uniform(0, 1e-5, (200, 1)),
+        "on a line": line * (1 + rng.uniform(0, 1e-7, (200, 1))),
+        "signs": rng.choice([-1.0, 1.0], (200, 16)),
+        "large and small": rng.standard_normal((200, 8)) * 10.0 ** rng.integers(-12, 12, (200, 1)),
+        "huge": rng.standard_normal((200, 4)) * 1e160,
+        "tiny": rng.standard_normal((200, 4)) * 1e-310,
+        "offset": 1e6 + rng.standard_normal((200, 8)) * 1e-4,
+    }
+    for name, v in cases.items():
+        with np.errstate(all="ignore"):
+            found = dict(neighbours.nearest(np.arange(1000, 1150), v[:150], np.arange(200), v, 5))
+            assert [[j for _, j in found[i]] for i in range(150)] == near_by_sorting(v[:150], v, 5), name
+
+
+def chat_ways(roles):
+    """All legal sequences that keep, relabel, merge and insert, by a plain search over (turns left, last role), without the tables of the operator."""
+    follows = {None: (0, 1), 0: (1,), 1: (2,), 2: (1,)}
+
+    def cost(at, last):
+        ends = 0.0 if last in (None, 2) else chat.INSERT if last == 1 else 2 * chat.INSERT
+        best = ends if at == len(roles) else chat.INF
+        if at < len(roles):
+            r = roles[at]
+            for new in range(3):
+                change = 0.0 if new == r else chat.UNKNOWN if r < 0 else chat.RELABEL
+                if new in follows[last]:
+                    best = min(best, change + cost(at + 1, new))
+                else:  # a turn between, if one makes it legal
+                    for between in (1, 2):
+                        if between in follows[last] and new in follows[between]:
+                            best = min(best, chat.INSERT + change + cost(at + 1, new))
+            if last is not None:
+                best = min(best, chat.MERGE + (0.0 if r == last else chat.UNKNOWN if r < 0 else chat.RELABEL) + cost(at + 1, last))
+        return best
+
+    return cost(0, None)
+
+
+def test_chat_costs_by_a_search_of_its_own():
+    rng = random.Random(10)
+    for _ in range(80):
+        roles = [rng.choice([-1, 0, 1, 2]) for _ in range(rng.randint(1, 6))]
+        way = chat.way([chat.chunk_matrix(roles)])
+        steps = chat.trace(roles, *way[0])
+        assert sum(s[0] for s in steps) + chat.end_cost(steps[-1][1])[0] == chat_ways(roles), roles
+        spelled = []
+        for _, state, action, inserted in steps:
+            spelled += inserted if action != chat.JOIN else ()
+            spelled += [state - 1] if action != chat.JOIN else []
+        spelled += chat.end_cost(steps[-1][1])[1]
+        legal = spelled[1:] if spelled[:1] == [0] else spelled
+        assert legal == [1, 2] * (len(legal) // 2)
+
+
+def scored_one_by_one(w, text):
+    """The score by the definition: word by word, window by window, with plain loops."""
+    from zlib import crc32
+
+    words = [x.strip(toxicity.SIGNS).encode() for x in text.lower().split()]
+    if not words:
+        return 0.0
+
+    def embedded(word):
+        marked = b"^" + word + b"$$"[: max(1, 3 - len(word))]
+        grams = [int.from_bytes(marked[k : k + 4], "little") * 0x9E3779B97F4A7C15 % 2**64 >> 50 for k in range(len(marked) - 3)]
+        mean = np.mean([w["char"][g] for g in grams], axis=0) if grams else np.zeros(toxicity.CHAR_DIMS)
+        return np.concatenate([w["word"][crc32(word) % toxicity.BUCKETS], mean]).astype(float)
+
+    s = lambda x: 1 / (1 + np.exp(-x))
+    n, best = toxicity.HIDDEN, -np.inf
+    last = max(0, -(-(len(words) - toxicity.WINDOW) // toxicity.STRIDE))
+    for k in range(last + 1):
+        x = [embedded(word) for word in words[k * toxicity.STRIDE : k * toxicity.STRIDE + toxicity.WINDOW]]
+        states = {}
+        for side, order in (("f", range(len(x))), ("b", reversed(range(len(x))))):
+            h = np.zeros(n)
+            for t in order:
+                a, b = x[t] @ w["x" + side] + w["b" + side], h @ w["h" + side]
+                z, r = s(a[:n] + b[:n]), s(a[n : 2 * n] + b[n : 2 * n])
+                c = np.tanh(a[2 * n :] + r * b[2 * n :])
+                h = z * h + (1 - z) * c
+                states[side, t] = h
+        both = np.array([np.concatenate([states["f", t], states["b", t]]) for t in range(len(x))])
+        look = np.exp(both @ w["look"])
+        best = max(best, float((look / look.sum()) @ both @ w["out"] + w["bias"][0]))
+    return s(best)
+
+
+def test_scores_are_those_of_the_definition():
+    rng = random.Random(5)
+    w = toxicity.new_weights(3)
+    w = {k: v * 4 for k, v in w.items()}
+    names = ["the", "of!", "Grobian", "é", "a", "x.y", "...", "longerword"]
+    texts = [" ".join(rng.choices(names, k=n)) for n in (0, 1, 5, 23, 24, 25, 36, 37, 90)]
+    with np.errstate(over="ignore"):
+        assert np.allclose(toxicity.score_texts(w, texts), [scored_one_by_one(w, t) for t in texts], atol=1e-5)
+
+
 def test_shared_counts_and_roots():
     rng = random.Random(4)
     sets = [np.unique(np.array(rng.choices(range(50), k=rng.randint(0, 30)), np.uint64)) for _ in range(20)]
