@@ -21,10 +21,5 @@ def plain(x: Column) -> Column:
     return F.when(whole, x.cast("long").cast("string")).otherwise(x.cast("double").cast("string"))
 
 
-def at(array: Column, index: Column) -> Column:
-    """Element by a place from 0."""
-    return F.get(array, index)
-
-
 def clamp(x: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))

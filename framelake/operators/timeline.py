@@ -34,7 +34,7 @@ def half_open(frames: DataFrame, start: Column, end: Column) -> DataFrame:
 
 
 def until_passed(packets: DataFrame, end: Column) -> DataFrame:
-    """Packets up to and with the first one after end, in the order in which they come. Only the one that follows is searched for: no stream is sorted."""
+    """Packets up to and with the first one after end, in the order in which they come. The one that follows is found by an aggregation with partial results, so no stream meets in one window."""
     later = F.col("pts_seconds") > end
     first = packets.where(later).groupBy(*STREAM).agg(F.min_by(F.struct(*packets.columns), F.struct("pts", "event_id")).alias("_first")).select("_first.*")
     return packets.where(~later).unionByName(first)

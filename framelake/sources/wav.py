@@ -97,15 +97,18 @@ def decode_rows(assets: DataFrame) -> DataFrame:
 
 
 class WavPart(InputPartition):
-    def __init__(self, path: str, first: int, last: int):
-        self.path, self.first, self.last = path, first, last
+    def __init__(self, path: str, begin: int, end: int):
+        self.path, self.begin, self.end = path, begin, end
 
 
 class WavReader(DataSourceReader):
-    """Rows of FRAME samples a channel. Bounds on pts_seconds become byte ranges, so that what is outside isn't read; splits are at frames, and frame_index counts from the file's beginning."""
+    """Rows of FRAME samples a channel. Bounds on pts_seconds become byte ranges, so that what is outside isn't read; splits are ranges of bytes, and frame_index counts from the file's beginning.
 
-    def __init__(self, paths: list[str], frames_a_split: int):
-        self.paths, self.split = paths, frames_a_split
+    The driver lists files and their sizes alone; headers are read where the frames are. A file that can't be read is a row with its error.
+    """
+
+    def __init__(self, path: str, split_bytes: int):
+        self.path, self.split = path, split_bytes
         self.low, self.high = 0.0, float("inf")
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
@@ -117,26 +120,68 @@ class WavReader(DataSourceReader):
             yield f  # a bound here is a range of frames; the exact test stays above
 
     def partitions(self) -> list[InputPartition]:
-        out: list[InputPartition] = []
-        for path in self.paths:
-            with open(path, "rb") as f:
+        return [WavPart(path, a, a + self.split) for path, size in listed(self.path) for a in range(0, max(1, size), self.split)]
+
+    def frames(self, h: dict, partition: WavPart) -> range:
+        """The frames that begin within the partition's bytes and may lie in the window."""
+        width = FRAME * (h["bits"] // 8 * h["channels"])
+        total = -(-(h["end"] - h["begin"]) // width)
+        first, last = (max(0, -(-(b - h["begin"]) // width)) for b in (partition.begin, partition.end))
+        low = max(0, int(self.low * h["rate"] / FRAME) - 1)
+        high = total if self.high == float("inf") else int(max(0.0, self.high) * h["rate"] / FRAME) + 2
+        return range(max(first, low), min(last, high, total))
+
+    def read(self, partition: WavPart) -> Iterator[pa.RecordBatch]:
+        try:
+            with opened(partition.path) as f:
                 h = header_of(f)
-            n = -(-((h["end"] - h["begin"]) // (h["bits"] // 8 * h["channels"])) // FRAME)
-            low = min(n, max(0, int(self.low * h["rate"] / FRAME) - 1))
-            high = n if self.high == float("inf") else min(n, int(self.high * h["rate"] / FRAME) + 2)
-            out += [WavPart(path, a, min(a + self.split, high)) for a in range(low, high, self.split)]
-        return out
-
-    def read(self, partition: WavPart) -> Iterator[tuple]:
-        with open(partition.path, "rb") as f:
-            h = header_of(f)
-            width = h["bits"] // 8 * h["channels"]
-            for k in range(partition.first, partition.last):
-                f.seek(h["begin"] + k * FRAME * width)
-                raw = f.read(min(FRAME * width, h["end"] - h["begin"] - k * FRAME * width))
-                planes = samples_of(raw[: len(raw) // width * width], h["kind"], h["bits"]).reshape(-1, h["channels"]).T
-                for c, plane in enumerate(planes):
-                    yield partition.path, k, k * FRAME, k * FRAME / h["rate"], c, len(plane), h["rate"], plane.astype(np.float32).tolist()
+                width = h["bits"] // 8 * h["channels"]
+                wanted = self.frames(h, partition)
+                for k in range(wanted.start, wanted.stop, 64):
+                    yield self.batch(f, h, width, range(k, min(k + 64, wanted.stop)), partition.path)
+        except (ValueError, OSError, struct.error) as e:
+            if partition.begin == 0:
+                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip([partition.path, *[None] * 7, str(e)], ROWS)], schema=ROWS)
+
+    def batch(self, f, h: dict, width: int, frames: range, path: str) -> pa.RecordBatch:
+        f.seek(h["begin"] + frames.start * FRAME * width)
+        raw = f.read(min(len(frames) * FRAME * width, h["end"] - h["begin"] - frames.start * FRAME * width))
+        planes = samples_of(raw[: len(raw) // width * width], h["kind"], h["bits"]).reshape(-1, h["channels"]).astype(np.float32)
+        parts = [(k, c, planes[i * FRAME : (i + 1) * FRAME, c]) for i, k in enumerate(frames) for c in range(h["channels"])]
+        n = len(parts)
+        starts = [k * FRAME for k, _, _ in parts]
+        columns = [[path] * n, [k for k, _, _ in parts], starts, [x / h["rate"] for x in starts], [c for _, c, _ in parts], [len(x) for _, _, x in parts], [h["rate"]] * n, [x for _, _, x in parts], [None] * n]
+        return pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(columns, ROWS)], schema=ROWS)
+
+
+ROWS = pa.schema([("path", pa.string()), ("frame_index", pa.int64()), ("pts", pa.int64()), ("pts_seconds", pa.float64()), ("channel", pa.int32()), ("nb_samples", pa.int32()), ("sample_rate", pa.int32()), ("fdata", pa.list_(pa.float32())), ("error", pa.string())])
+
+
+def listed(path: str) -> list[tuple[str, int]]:
+    """(path, size) of the files that a pattern of a local path, a folder or a uri of a store names."""
+    import glob
+    import os
+
+    import pyarrow.fs as pafs
+
+    if "://" not in path:
+        found = sorted(glob.glob(path)) or [path]
+        found = [f"{p}/{n}" for p in found if os.path.isdir(p) for n in sorted(os.listdir(p))] + [p for p in found if not os.path.isdir(p)]
+        return [(p, os.path.getsize(p) if os.path.exists(p) else 0) for p in found]
+    fs, inner = pafs.FileSystem.from_uri(path)
+    prefix = path[: len(path) - len(inner)]
+    info = fs.get_file_info(inner)
+    files = fs.get_file_info(pafs.FileSelector(inner)) if info.type == pafs.FileType.Directory else [info]
+    return [(prefix + x.path, x.size or 0) for x in sorted(files, key=lambda x: x.path) if x.type != pafs.FileType.Directory]
+
+
+def opened(path: str):
+    if "://" not in path:
+        return open(path, "rb")
+    import pyarrow.fs as pafs
+
+    fs, inner = pafs.FileSystem.from_uri(path)
+    return fs.open_input_file(inner)
 
 
 def header_of(f) -> dict:
@@ -145,25 +190,22 @@ def header_of(f) -> dict:
     size = f.tell()
     f.seek(0)
     head = f.read(1 << 16)
-    h = header(head + b"") if b"data" in head else None
-    if h is None:
+    if head[:4] == b"RIFF" and b"data" not in head:
         raise ValueError("no data chunk near the beginning")
+    h = header(head)
     told = struct.unpack_from("<I", head, h["begin"] - 4)[0]
     return h | {"end": min(size, h["begin"] + told)}
 
 
 class WavSource(DataSource):
-    """spark.dataSource.register(WavSource); spark.read.format('wav_frames').load(path). Option split: frames a partition."""
+    """spark.dataSource.register(WavSource); spark.read.format('wav_frames').load(path). Option split: bytes a partition."""
 
     @classmethod
     def name(cls) -> str:
         return "wav_frames"
 
     def schema(self) -> str:
-        return "path string, frame_index long, pts long, pts_seconds double, channel int, nb_samples int, sample_rate int, fdata array<float>"
+        return "path string, frame_index long, pts long, pts_seconds double, channel int, nb_samples int, sample_rate int, fdata array<float>, error string"
 
     def reader(self, schema) -> WavReader:
-        import glob
-
-        paths = sorted(glob.glob(self.options["path"])) or [self.options["path"]]
-        return WavReader(paths, int(self.options.get("split", 512)))
+        return WavReader(self.options["path"], int(self.options.get("split", 8 << 20)))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from framelake import api
 from framelake.functions import signal
 from framelake.sources import containers, flac, headers, pixels, wav
-from framelake.streaming.arrival import arriving, windowed_rates
+from framelake.streaming.arrival import arriving, sessions, windowed_rates
 
 
 def tone(rate, seconds, channels=1):
@@ -20,15 +20,20 @@ def tone(rate, seconds, channels=1):
 
 def test_wav_window_reaches_the_reader(spark, tmp_path):
     (tmp_path / "a.wav").write_bytes(wav.encode(tone(16000, 3), 16000))
+    (tmp_path / "b.wav").write_bytes(b"RIFF cut")
     spark.dataSource.register(wav.WavSource)
-    rows = spark.read.format("wav_frames").option("split", 8).load(str(tmp_path / "*.wav"))
-    all_ = rows.orderBy("frame_index").collect()
+    rows = spark.read.format("wav_frames").option("split", 8 * 2048).load(str(tmp_path / "*.wav"))
+    all_ = rows.where("error IS NULL").orderBy("frame_index").collect()
     assert sum(r.nb_samples for r in all_) == 48000 and [r.frame_index for r in all_] == list(range(47))
+    assert np.allclose([x for r in all_ for x in r.fdata], tone(16000, 3), atol=1e-4)
+    assert [r.path.endswith("b.wav") for r in rows.where("error IS NOT NULL").collect()] == [True]
     some = rows.where("pts_seconds >= 1.0 AND pts_seconds < 2.0").orderBy("frame_index").collect()
     assert some == [r for r in all_ if 1 <= r.pts_seconds < 2]
-    reader = wav.WavReader([str(tmp_path / "a.wav")], 8)
+    reader = wav.WavReader(str(tmp_path / "a.wav"), 8 * 2048)
     list(reader.pushFilters([wav.GreaterThanOrEqual(("pts_seconds",), 1.0), wav.LessThan(("pts_seconds",), 2.0)]))
-    assert sum(p.last - p.first for p in reader.partitions()) < 20
+    assert sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) < 20
+    by_uri = wav.WavReader(f"file://{tmp_path}", 1 << 20)
+    assert sum(b.num_rows for p in by_uri.partitions() for b in by_uri.read(p)) == 48
 
 
 def arrays(rows):
@@ -212,3 +217,6 @@ def test_arriving_frames(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("rates").outputMode("complete").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("rates").agg(F.sum("n_frames")).first()[0] == 100
+    q = sessions(arriving(spark, str(tmp_path / "in"), rows.schema), gap="3 minutes").writeStream.format("memory").queryName("runs").outputMode("complete").option("checkpointLocation", str(tmp_path / "state2")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert spark.table("runs").agg(F.sum("n_frames")).first()[0] == 100
