@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from framelake.llm import bpe, jaccard, mixing, secrets, toxicity
-from framelake.llm.common import materialize, table
+from framelake.llm.common import materialize, spread, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -52,7 +52,7 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:

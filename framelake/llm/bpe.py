@@ -30,7 +30,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from framelake.llm.common import release, slices_of, table, texts
+from framelake.llm.common import release, slices_of, spread, table, texts
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Pieces of text whose tokens a worker remembers, in each of two generations, and compatible pairs of tokens.
@@ -339,4 +339,4 @@ def vocabulary_path() -> str:
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_documents(table(spark, sf_dir, "documents"), vocabulary_path())
+    return encode_documents(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), vocabulary_path())

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from framelake.llm.common import materialize, table, texts
+from framelake.llm.common import materialize, spread, table, texts
 
 K = 128
 SHINGLE = 5
@@ -144,4 +144,4 @@ def fingerprint_documents(docs: DataFrame, *, k: int = K) -> DataFrame:
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprint_documents(table(spark, sf_dir, "documents"))
+    return fingerprint_documents(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))

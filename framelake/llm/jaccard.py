@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from framelake.llm.common import CHUNK_BYTES, batches_of, materialize, release, slices_of, table, texts
+from framelake.llm.common import CHUNK_BYTES, batches_of, materialize, release, slices_of, spread, table, texts
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -359,4 +359,4 @@ def deduplicate(docs: DataFrame, *, threshold: float = THRESHOLD, recall: float
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "group_id", "n_copies", "n_links")
+    return near_duplicates(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id", "class_id", "group_id", "n_copies", "n_links")

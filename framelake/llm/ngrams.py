@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm.common import batches_of, new_folder, ranges_for, release, table, texts
+from framelake.llm.common import batches_of, new_folder, ranges_for, release, spread, table, texts
 
 #: Bytes of the input's files for each range of hash.
 RANGE_BYTES = 8 << 20
@@ -387,6 +387,6 @@ def score(docs: DataFrame, model: dict, held_out: Column) -> DataFrame:
 
 
 def op6_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = texts(table(spark, sf_dir, "documents"))
+    docs = texts(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))) % 7 == 2
     return score(docs, train(docs.where(~held_out)), held_out)

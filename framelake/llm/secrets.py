@@ -30,7 +30,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm.common import slices_of, table, texts
+from framelake.llm.common import slices_of, spread, table, texts
 
 KINDS = ("assign", "access", "hex", "random")
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string"
@@ -215,4 +215,4 @@ def vocabulary_path() -> str:
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents"), vocabulary_path())
+    return scan(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), vocabulary_path())

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm.common import batches_of, materialize, ranges_for, table, texts
+from framelake.llm.common import batches_of, materialize, ranges_for, spread, table, texts
 
 LENGTH = 100
 ANCHOR = 32
@@ -482,4 +482,4 @@ def remove_repeats(docs: DataFrame, *, ranges: int | None = None, with_text: boo
 
 
 def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents"))
+    return remove_repeats(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))

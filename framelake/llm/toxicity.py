@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from framelake.llm.common import batches_of, table, texts
+from framelake.llm.common import batches_of, spread, table, texts
 
 SAMPLE = 3000
 SAMPLE_CHARS = 8_000_000
@@ -336,5 +336,5 @@ def rejecting(docs: DataFrame, weights: Weights | float, *, threshold: float = T
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return score(docs, learn(docs, table(spark, sf_dir, "labels")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score(spread(docs), learn(docs, table(spark, sf_dir, "labels")))
