@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from framelake.llm.common import batches_of, new_folder, ranges_for, release, spread, table, texts
 
 #: Bytes of the input's files for each range of hash.
-RANGE_BYTES = 8 << 20
+RANGE_BYTES = 4 << 20
 #: Bytes of text whose pairs a worker counts before it sends them, and that it scores at once.
 COUNTED_BYTES = 12 << 20
 SCORED_BYTES = 4 << 20
@@ -204,7 +204,7 @@ def by_range(blobs: DataFrame, ranges: int, settle: Callable[[int, list[tuple[in
             if held:
                 yield from settle(now, held)
 
-    return blobs.select("kind", "r", "data").repartition(ranges, "r").sortWithinPartitions("r", "kind").mapInArrow(run, schema)
+    return blobs.select("kind", "r", "data").repartitionById(ranges, F.col("r")).sortWithinPartitions("r", "kind").mapInArrow(run, schema)
 
 
 def uri_of(folder: str) -> str:

@@ -34,7 +34,7 @@ from framelake.llm.common import batches_of, materialize, ranges_for, spread, ta
 LENGTH = 100
 ANCHOR = 32
 #: Bytes of the input's files for each range, in which anchors meet.
-RANGE_BYTES = 8 << 20
+RANGE_BYTES = 4 << 20
 #: Runs that a worker gathers before it sends them, kinds of runs of an anchor that are sorted in one task, and symbols sorted at once.
 BATCH_RUNS = 400_000
 HOT = 2000
@@ -203,7 +203,7 @@ def grouped(rows: DataFrame, ranges: int, settle, schema: str) -> DataFrame:
             if held:
                 yield from settle(held)
 
-    return rows.select("kind", "r", "data").repartition(ranges, "r").sortWithinPartitions("r").mapInArrow(run, schema)
+    return rows.select("kind", "r", "data").repartitionById(ranges, F.col("r")).sortWithinPartitions("r").mapInArrow(run, schema)
 
 
 BY_DOC = "doc_id long, kind int, data binary"
