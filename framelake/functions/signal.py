@@ -151,18 +151,34 @@ def log_mel(power: np.ndarray) -> np.ndarray:
     return np.log10(np.maximum(power, 1e-10))
 
 
-def area_weights(size: int, to: int) -> np.ndarray:
-    """(to, size): the share of each source pixel in an output pixel, by the length on which they meet."""
-    scale = size / to
-    begin = np.arange(to)[:, None] * scale
-    inside = np.minimum(begin + scale, np.arange(size) + 1) - np.maximum(begin, np.arange(size))
-    return np.maximum(0, inside) / scale
+def area_means(x: np.ndarray, to: int, axis: int) -> np.ndarray:
+    """Means over equal parts of an axis, which may begin and end within an element: sums of whole elements, and the shares of those at the ends."""
+    size = x.shape[axis]
+    if size == to:
+        return x
+    kind = np.uint32 if x.dtype == np.uint8 else np.float64
+    if size % to == 0:
+        parts = [x[(slice(None),) * axis + (slice(k, None, size // to),)] for k in range(size // to)]
+        total = parts[0].astype(kind)
+        for part in parts[1:]:
+            total += part
+        return total * (to / size)
+    ends = np.arange(to + 1) * (size / to)
+    whole = np.minimum(ends.astype(np.int64), size - 1)
+    shape = [1] * x.ndim
+    shape[axis] = to + 1
+    rest = x.take(whole, axis) * (ends - whole).reshape(shape)
+    sums = np.add.reduceat(x, whole[:-1], axis=axis, dtype=kind)
+    last = np.moveaxis(sums, axis, 0)  # a view: where a part has no whole element, there is no sum; the last one ends before the last element
+    last[whole[:-1] == whole[1:]] = 0
+    if whole[-2] < size - 1:
+        last[-1] -= x.take(size - 1, axis).astype(sums.dtype)
+    return (sums + np.diff(rest, axis=axis)) * (to / size)
 
 
 def scaled(image: np.ndarray, height: int, width: int) -> np.ndarray:
-    """An image (height, width, channels) by area."""
-    h, w = image.shape[:2]
-    if (h, w) == (height, width):
+    """Planes (channels, height, width) by area."""
+    if image.shape[1:] == (height, width):
         return image
-    out = np.einsum("yh,hwc,xw->yxc", area_weights(h, height), image.astype(np.float64), area_weights(w, width), optimize=True)
+    out = area_means(area_means(image, height, 1), width, 2)
     return np.clip(np.floor(out + 0.5), 0, 255).astype(np.uint8) if image.dtype == np.uint8 else out.astype(image.dtype)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 from fractions import Fraction
+from functools import lru_cache
 
 import numpy as np
 
@@ -128,26 +129,53 @@ def y4m_count(data: bytes) -> int:
     return sum(1 for _ in y4m_frames(data, h["height"] * h["width"] + 2 * ch * cw, h["begin"]))
 
 
-def y4m_planes(data: bytes):
-    """(luma, first chroma, second chroma) of each whole frame, chroma at the size of luma."""
+def y4m_raw(data: bytes):
+    """(luma, first chroma, second chroma) of each whole frame, each at its own size."""
     h = y4m_header(data)
     height, width = h["height"], h["width"]
     ch, cw = y4m_layout(h)
-    size = height * width + 2 * ch * cw
-    for begin in y4m_frames(data, size, h["begin"]):
-        raw = np.frombuffer(data, np.uint8, size, begin)
-        planes = [raw[: height * width].reshape(height, width)]
-        for k in range(2):
-            c = raw[height * width + k * ch * cw : height * width + (k + 1) * ch * cw].reshape(ch, cw)
-            planes.append(np.repeat(np.repeat(c, -(-height // ch), axis=0), -(-width // cw), axis=1)[:height, :width])
-        yield tuple(planes)
+    luma, chroma = height * width, ch * cw
+    for begin in y4m_frames(data, luma + 2 * chroma, h["begin"]):
+        raw = np.frombuffer(data, np.uint8, luma + 2 * chroma, begin)
+        yield raw[:luma].reshape(height, width), raw[luma : luma + chroma].reshape(ch, cw), raw[luma + chroma :].reshape(ch, cw)
+
+
+def widened(chroma: np.ndarray, height: int, width: int) -> np.ndarray:
+    """A chroma plane at the size of luma: each sample for the pixels that it stands for."""
+    ch, cw = chroma.shape
+    if (ch, cw) == (height, width):
+        return chroma
+    return np.repeat(np.repeat(chroma, -(-height // ch), axis=0), -(-width // cw), axis=1)[:height, :width]
+
+
+def y4m_planes(data: bytes):
+    """(luma, first chroma, second chroma) of each whole frame, chroma at the size of luma."""
+    for y, u, v in y4m_raw(data):
+        yield y, widened(u, *y.shape), widened(v, *y.shape)
+
+
+#: Bits of the fraction of the tables below: with these, all 8-bit samples give what double precision gives.
+FRACTION = 20
+
+
+@lru_cache(maxsize=16)
+def tables(red: float, blue: float, full: bool) -> tuple[np.ndarray, ...]:
+    """What each luma sample adds to all colours, and each chroma sample to red, green and blue; the half that rounds is in luma's."""
+    fixed = lambda x: np.round(x * (1 << FRACTION)).astype(np.int32)
+    n = np.arange(256, dtype=np.float64)
+    c = (n - 128) * (1.0 if full else 255 / 224)
+    green = 1 - red - blue
+    return fixed((n if full else (n - 16) * (255 / 219)) + 0.5), fixed(2 * (1 - red) * c), fixed(-2 * red * (1 - red) / green * c), fixed(-2 * blue * (1 - blue) / green * c), fixed(2 * (1 - blue) * c)
 
 
 def to_rgb(y: np.ndarray, u: np.ndarray, v: np.ndarray, red: float = 0.299, blue: float = 0.114, full: bool = False) -> np.ndarray:
-    """8-bit RGB, height by width by 3."""
-    luma = y.astype(np.float64) if full else (y.astype(np.float64) - 16) * (255 / 219)
-    scale = 1.0 if full else 255 / 224
-    cb, cr = (u.astype(np.float64) - 128) * scale, (v.astype(np.float64) - 128) * scale
-    r, b = luma + 2 * (1 - red) * cr, luma + 2 * (1 - blue) * cb
-    g = (luma - red * r - blue * b) / (1 - red - blue)
-    return np.clip(np.floor(np.stack([r, g, b], axis=-1) + 0.5), 0, 255).astype(np.uint8)
+    """8-bit planes of red, green and blue; chroma may have its own size."""
+    luma, for_red, green_v, green_u, for_blue = tables(red, blue, full)
+    base = luma[y]
+    out = np.empty((3, *y.shape), np.uint8)
+    for k, add in enumerate((for_red[v], green_v[v] + green_u[u], for_blue[u])):
+        x = base + widened(add, *y.shape)
+        x >>= FRACTION
+        np.clip(x, 0, 255, out=x)
+        out[k] = x
+    return out

@@ -40,14 +40,14 @@ def is_audio(content: bytes) -> bool:
 
 
 def pictures(content: bytes) -> tuple[float, int, Iterator[np.ndarray]]:
-    """(rate, number of frames, frames as 8-bit RGB) of the video stream."""
+    """(rate, number of frames, frames as 8-bit planes of red, green and blue) of the video stream."""
     if is_image(content):
-        return 1.0, 1, iter([pixels.decode(content)])
+        return 1.0, 1, iter([np.ascontiguousarray(pixels.decode(content).transpose(2, 0, 1))])
     if content[:9] == b"YUV4MPEG2":
         h = containers.y4m_header(content)
         weights = MATRICES["bt709" if h["height"] > 576 else "bt601"]
         full = h["full"]
-        return float(h["fps"]), containers.y4m_count(content), (containers.to_rgb(*p, *weights, full) for p in containers.y4m_planes(content))
+        return float(h["fps"]), containers.y4m_count(content), (containers.to_rgb(*p, *weights, full) for p in containers.y4m_raw(content))
     if is_audio(content):
         raise ValueError("no video stream")
     raise ValueError("no decoder for this container")
@@ -87,10 +87,10 @@ def video(content: bytes, start: float | None, end: float | None, request: dict)
     for k, (at, x) in enumerate(timed):
         if k >= room:
             return
-        x = signal.scaled(x, request.get("height") or x.shape[0], request.get("width") or x.shape[1])
+        x = signal.scaled(x, request.get("height") or x.shape[1], request.get("width") or x.shape[2])
         if request.get("dtype") == "float32":
             x = x.astype(np.float32) / np.float32(255)
-        yield k, at, fps, x if request.get("dimension_order") == "NHWC" else np.ascontiguousarray(x.transpose(2, 0, 1))
+        yield k, at, fps, np.ascontiguousarray(x.transpose(1, 2, 0)) if request.get("dimension_order") == "NHWC" else x
 
 
 def samples_of(content: bytes) -> tuple[np.ndarray, int, int]:

@@ -162,9 +162,34 @@ def test_signals():
     assert np.abs(high[:, 200:-200]).max() < 0.01 and signal.sinc_resampled(sine(100.0), 48000, 44100).shape == (1, 176400)
     power = signal.mel_spectrogram(sine(1000.0)[0], 48000)
     assert power.shape == (128, (192000 - 2048) // 512 + 1) and abs(signal.mel_points(48000, 128)[int(power[:, 9].argmax()) + 1] - 1000) < 50
-    image = np.arange(48, dtype=np.uint8).reshape(4, 4, 3)
-    assert signal.scaled(image, 4, 4) is image and (signal.scaled(np.full((5, 7, 3), 9, np.uint8), 3, 4) == 9).all()
-    assert (signal.scaled(image, 2, 2)[0, 0] == np.floor(image[:2, :2].mean((0, 1)) + 0.5)).all()
+    image = np.arange(48, dtype=np.uint8).reshape(3, 4, 4)
+    assert signal.scaled(image, 4, 4) is image and (signal.scaled(np.full((3, 5, 7), 9, np.uint8), 3, 4) == 9).all()
+    assert (signal.scaled(image, 2, 2)[:, 0, 0] == np.floor(image[:, :2, :2].mean((1, 2)) + 0.5)).all()
+    x, y = np.random.default_rng(5).normal(size=(2, 8, 8)), np.zeros((2, 5, 11))
+    for i in range(5):
+        for j in range(11):
+            down = np.clip(np.minimum((i + 1) * 1.6, np.arange(8) + 1) - np.maximum(i * 1.6, np.arange(8)), 0, None) / 1.6
+            across = np.clip(np.minimum((j + 1) * 8 / 11, np.arange(8) + 1) - np.maximum(j * 8 / 11, np.arange(8)), 0, None) * 11 / 8
+            y[:, i, j] = down @ x @ across
+    assert np.allclose(signal.scaled(x, 5, 11), y)
+
+
+@pytest.mark.parametrize("full", [False, True])
+@pytest.mark.parametrize("weights", [(0.2126, 0.0722), (0.299, 0.114)])
+def test_all_samples_as_in_double_precision(weights, full):
+    red, blue = weights
+    n = np.arange(256, dtype=np.uint8)
+    for u in range(256):
+        y, v = np.meshgrid(n, n)
+        luma = y.astype(float) if full else (y.astype(float) - 16) * (255 / 219)
+        scale = 1.0 if full else 255 / 224
+        cb, cr = (u - 128) * scale, (v.astype(float) - 128) * scale
+        r, b = luma + 2 * (1 - red) * cr, luma + 2 * (1 - blue) * cb
+        g = (luma - red * r - blue * b) / (1 - red - blue)
+        # where double precision itself can't tell a half, either neighbour may come out
+        for x, out in zip((r, g, b), containers.to_rgb(y, np.full_like(y, u), v, red, blue, full)):
+            off = np.abs(np.clip(np.floor(x + 0.5), 0, 255) - out)
+            assert (off[np.abs(x + 0.5 - np.round(x + 0.5)) > 1e-5] == 0).all() and off.max() <= 1
 
 
 def test_pcm_formats():
@@ -205,7 +230,7 @@ def test_size_guard_and_y4m(spark, tmp_path):
     assert [r.length for r in api.assets(spark, str(tmp_path), most_bytes=10).collect()] == [1]
     gray = bytes([126] * 8 + [128] * 16)
     (planes,) = containers.y4m_planes(headers.y4m(4, 2, (30, 1), [gray]))
-    assert (containers.to_rgb(*planes) == 128).all()
+    assert containers.to_rgb(*planes).shape == (3, 2, 4) and (containers.to_rgb(*planes) == 128).all()
     sub = list(containers.y4m_planes(headers.y4m(4, 2, (30, 1), [bytes(12)] * 2, "420jpeg")))
     assert len(sub) == 2 and sub[0][1].shape == (2, 4)
 
