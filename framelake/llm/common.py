@@ -6,6 +6,7 @@ import atexit
 import ctypes
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 2 << 20
 
 _written: list[tuple[SparkSession, str]] = []
+_paths: dict[int, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,12 +60,15 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return path
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+
+
 def _remove_written() -> None:
     for spark, path in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-            hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+            _remove(spark, path)
         except Exception:  # the session has ended; its folder goes with the cluster's own cleaning
             return
 
@@ -73,7 +78,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = path
+    weakref.finalize(out, _paths.pop, id(out), None)
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the files of a table that materialize() gave, once nothing reads them any more."""
+    path = _paths.pop(id(df), None)
+    if path:
+        _remove(df.sparkSession, path)
 
 
 def ranges_for(df: DataFrame, bytes_a_range: int, least: int = 8, most: int = 1 << 14, unknown: int = 64) -> int:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from framelake.llm.common import CHUNK_BYTES, batches_of, materialize, release, slices_of, spread, table, texts
+from framelake.llm.common import CHUNK_BYTES, batches_of, discard, materialize, release, slices_of, spread, table, texts
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -270,8 +270,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         smallest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(smallest, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        now = materialize(small.where("u <> v").distinct(), "links")
+        last, now = now, materialize(small.where("u <> v").distinct(), "links")
         state = now.agg(F.count("*"), F.coalesce(F.expr("bit_xor(xxhash64(u, v))"), F.lit(0))).first()
+        discard(last)
         if state == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = state
@@ -360,3 +361,21 @@ def deduplicate(docs: DataFrame, *, threshold: float = THRESHOLD, recall: float
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id", "class_id", "group_id", "n_copies", "n_links")
+
+
+#: All pairs of classes with a common n-gram, and the groups by all paths.
+OP8_SQL = r"""
+WITH RECURSIVE words AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+grams AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g FROM words),
+keyed AS (SELECT doc_id, g, md5(array_to_string(list_sort(g), '|')) || len(g) AS k FROM grams),
+classes AS (SELECT k, min(doc_id) AS class_id, count(*) AS n_copies, any_value(g) AS g FROM keyed GROUP BY 1),
+flat AS (SELECT class_id, unnest(g) AS gram FROM classes),
+shared AS (SELECT a.class_id AS a, b.class_id AS b, count(*) AS n FROM flat a JOIN flat b ON a.gram = b.gram AND a.class_id < b.class_id GROUP BY 1, 2),
+near AS (SELECT a, b FROM shared JOIN classes x ON x.class_id = a JOIN classes y ON y.class_id = b WHERE n >= 0.8::DOUBLE * (len(x.g) + len(y.g) - n) - 1e-9),
+links AS (SELECT a, b FROM near UNION ALL SELECT b, a FROM near),
+reach AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+groups AS (SELECT a, min(b) AS low FROM reach GROUP BY 1),
+linked AS (SELECT a, CAST(sum(n_copies) AS BIGINT) AS n_links FROM links JOIN classes ON class_id = b GROUP BY 1)
+SELECT doc_id, class_id, least(class_id, coalesce(low, class_id)) AS group_id, n_copies, coalesce(n_links, 0) AS n_links
+FROM keyed JOIN classes USING (k) LEFT JOIN groups ON groups.a = class_id LEFT JOIN linked ON linked.a = class_id
+"""

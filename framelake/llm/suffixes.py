@@ -47,7 +47,7 @@ RUNS, REPEATS = 0, 1  # kinds of rows from a batch
 NEEDED, HOT_NEEDED = 2, 3
 
 
-def spread(h: np.ndarray, ranges: int) -> np.ndarray:
+def range_of(h: np.ndarray, ranges: int) -> np.ndarray:
     """The range of each hash (an anchor's is small, as a least one)."""
     x = (h ^ (h >> np.uint64(31))) * _ODD[7]
     return ((x >> np.uint64(32)) % np.uint64(ranges)).astype(np.int64)
@@ -166,9 +166,9 @@ def batch_runs(docs: DataFrame, ranges: int) -> DataFrame:
         order = np.lexsort((first, doc, context, anchor))
         anchor, context, doc, first, n = anchor[order], context[order], doc[order], first[order], n[order]
         one = changes(anchor, context)
-        rows = list(by_range(spread(anchor[one], ranges), RUNS, (anchor[one], context[one], doc[one], first[one], n[one]), ranges))
+        rows = list(by_range(range_of(anchor[one], ranges), RUNS, (anchor[one], context[one], doc[one], first[one], n[one]), ranges))
         rest = ~one
-        rows += by_range(spread(doc[rest].view(np.uint64), ranges), REPEATS, (doc[rest], first[rest], n[rest]), ranges)
+        rows += by_range(range_of(doc[rest].view(np.uint64), ranges), REPEATS, (doc[rest], first[rest], n[rest]), ranges)
         return rows_batch(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,7 +266,7 @@ def cut_pieces(touched: DataFrame, ranges: int) -> DataFrame:
         rows: list[tuple[int, int, bytes]] = []
         if held:
             anchor, doc, first, n = map(np.concatenate, zip(*held))
-            r = spread(anchor, ranges)
+            r = range_of(anchor, ranges)
             order = np.argsort(r, kind="stable")
             begins = np.flatnonzero(changes(r[order]))
             for at in np.split(order, begins[1:]):
@@ -274,7 +274,7 @@ def cut_pieces(touched: DataFrame, ranges: int) -> DataFrame:
                 rows.append((PIECES, int(r[at[0]]), len(head).to_bytes(8, "little") + head + b"".join(data[i] for i in at)))
         if windows:
             a, b, doc, first = map(np.concatenate, zip(*windows))
-            rows += by_range(spread(a, ranges), WINDOWS, (a, b, doc, first, np.ones(len(a))), ranges)
+            rows += by_range(range_of(a, ranges), WINDOWS, (a, b, doc, first, np.ones(len(a))), ranges)
         return rows_batch(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -483,3 +483,20 @@ def remove_repeats(docs: DataFrame, *, ranges: int | None = None, with_text: boo
 
 def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+#: Windows as hex, told apart by 128 bits; spans of repeated ones, and what lies between.
+OP2_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+lists AS (SELECT doc_id, list_transform(range(0, CAST(length(h) // 2 - 99 AS BIGINT)), lambda i: md5_number(substr(h, 2 * i + 1, 200))) AS l FROM d WHERE length(h) >= 200),
+w AS MATERIALIZED (SELECT doc_id, unnest(l) AS m, generate_subscripts(l, 1) - 1 AS pos FROM lists),
+again AS (SELECT m FROM w GROUP BY 1 HAVING count(*) > 1),
+later AS (SELECT doc_id, pos FROM w SEMI JOIN again USING (m) QUALIFY row_number() OVER (PARTITION BY m ORDER BY doc_id, pos) > 1),
+gaps AS (SELECT doc_id, pos, pos > lag(pos) OVER o + 100 AS apart FROM later WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+numbered AS (SELECT doc_id, pos, count(*) FILTER (coalesce(apart, true)) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS span FROM gaps),
+spans AS (SELECT doc_id, span, min(pos) AS a, max(pos) + 100 AS b FROM numbered GROUP BY 1, 2),
+cut AS (SELECT doc_id, span, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM spans),
+kept AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS gone, max(b) AS last, string_agg(substr(h, CAST(2 * before + 1 AS BIGINT), CAST(2 * (a - before) AS BIGINT)), '' ORDER BY a) AS front FROM cut JOIN d USING (doc_id) GROUP BY 1)
+SELECT doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(front, '') || substr(h, CAST(2 * coalesce(last, 0) + 1 AS BIGINT)))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
