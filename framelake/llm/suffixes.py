@@ -11,8 +11,9 @@ by the difference cover modulo 3: suffixes at places 1 and 2 modulo 3 are sorted
 where names repeat, the string of names is sorted in the same way; the remaining suffixes are sorted by their first symbol and
 the rank that follows it, and merged. Equal windows are then neighbours in suffix order, where their bytes are compared.
 
-An anchor that more than HOT kinds of runs share isn't sorted in one task: its windows are dealt by a 128-bit hash of their bytes.
-A batch keeps one of its runs of equal bytes, so a passage in a third of all documents arrives once a batch.
+An anchor that more than HOT kinds of runs share isn't sorted in one task: its windows go to another level, where the hash that chooses
+anchors is another one, and so most of them meet at less common strings; again and again, LEVELS times at most. Equal windows always
+go together. A batch keeps one of its runs of equal bytes, so a passage in a third of all documents arrives once a batch.
 
 Defined results: a null text counts as empty; a text below 100 bytes keeps all bytes; of rows with one id, the one whose text sorts
 first counts as earlier (equal rows: one of them); a null id is the smallest. Texts of any length are judged whole. An empty table
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm.common import batches_of, materialize, ranges_for, spread, table, texts
+from framelake.llm.common import CHUNK_BYTES, batches_of, materialize, ranges_for, release, slices_of, spread, table, texts
 
 LENGTH = 100
 ANCHOR = 32
@@ -38,6 +39,7 @@ RANGE_BYTES = 4 << 20
 #: Runs that a worker gathers before it sends them, kinds of runs of an anchor that are sorted in one task, and symbols sorted at once.
 BATCH_RUNS = 400_000
 HOT = 2000
+LEVELS = 8
 SYMBOLS = 1_000_000
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 _rng = np.random.default_rng(7)
@@ -79,22 +81,24 @@ def substring_hash(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, k: in
     return finish((total[ends] - total[begins]) * down[begins] + (ends - begins).astype(np.uint64) * _ODD[6])
 
 
-def anchors(data: np.ndarray) -> np.ndarray:
-    """Hash of the 32 bytes at each place but the last 31."""
+def anchors(data: np.ndarray, level: int = 0) -> np.ndarray:
+    """Hash of the 32 bytes at each place but the last 31; another one at each level."""
     h = _BYTE[2][data]
+    if level:
+        h = finish(h + np.uint64(level) * _ODD[0])
     for step, odd in zip((1, 2, 4, 8, 16), _ODD[1:6]):
         h = h[:-step] * odd + (h[step:] ^ (h[step:] >> np.uint64(29)))
     return finish(h)
 
 
-def runs_of(held: list[bytes]) -> tuple[np.ndarray, ...]:
-    """(anchor, bytes' hash, text, first window, windows) of each run of the texts."""
+def runs_of(held: list[bytes], level: int = 0, only: list[tuple[np.ndarray, np.ndarray]] | None = None) -> tuple[np.ndarray, ...]:
+    """(anchor, bytes' hash, text, first window, windows) of each run of the texts; of only some windows, if (first window, windows) are given for each text."""
     sizes = np.array([len(t) for t in held], np.int64)
     empty = np.empty(0, np.int64)
     if not (sizes >= LENGTH).any():
         return empty.astype(np.uint64), empty.astype(np.uint64), empty, empty, empty
     data = np.frombuffer(b"".join(held), np.uint8)
-    h = anchors(data)
+    h = anchors(data, level)
     # The place of the first of a window's least hashes: equal windows have it at the same offset, so no two windows of a run are equal.
     low, place, width, wanted = h, np.arange(len(h), dtype=np.int32), 1, LENGTH - ANCHOR + 1
     while width < wanted:
@@ -104,22 +108,24 @@ def runs_of(held: list[bytes]) -> tuple[np.ndarray, ...]:
         low = np.minimum(low[:-step], low[step:])
         width += step
     begin = np.cumsum(sizes) - sizes
-    last = begin + sizes - LENGTH  # of each text, the last window
-    valid = np.zeros(len(low) + 1, bool)
     edge = np.zeros(len(low) + 2, np.int64)
-    some = sizes >= LENGTH
-    edge[begin[some]] += 1
-    edge[last[some] + 1] -= 1
-    valid[:] = np.cumsum(edge)[: len(low) + 1] > 0
+    if only is None:
+        some = sizes >= LENGTH
+        first, stop = begin[some], (begin + sizes - LENGTH)[some] + 1
+    else:
+        first = np.concatenate([b + f for b, (f, _) in zip(begin, only)] or [empty])
+        stop = first + np.concatenate([n for _, n in only] or [empty])
+    np.add.at(edge, first, 1)
+    np.add.at(edge, stop, -1)
+    valid = np.cumsum(edge)[: len(low) + 1] > 0
     new = np.zeros(len(low), bool)
-    new[0] = True
     new[1:] = place[1:] != place[:-1]
-    new[begin[some]] = True
+    new[first] = True
     new &= valid[:-1]
     first = np.flatnonzero(new)
-    stop = np.append(first[1:], len(low))
+    ends = np.flatnonzero(valid[:-1] & ~valid[1:]) + 1  # where windows that count are followed by one that doesn't
+    stop = np.minimum(np.append(first[1:], len(low)), ends[np.searchsorted(ends, first, side="right")])
     text = np.searchsorted(begin, first, side="right") - 1
-    stop = np.minimum(stop, last[text] + 1)
     context = substring_hash(data, first, stop + LENGTH - 1, 0)
     return h[place[first]], context, text, first - begin[text], stop - first
 
@@ -158,8 +164,8 @@ def rows_batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.binary())], ["kind", "r", "data"])
 
 
-def batch_runs(docs: DataFrame, ranges: int) -> DataFrame:
-    """Rows (kind, r, data): RUNS with one of each kind of bytes, and REPEATS, the batch's others."""
+def batch_runs(docs: DataFrame, ranges: int, level: int) -> DataFrame:
+    """docs: (doc_id, text), or (doc_id, text, hot) with the windows that count. Rows (kind, r, data): RUNS with one of each kind of bytes, and REPEATS, the batch's others."""
 
     def settle(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         anchor, context, doc, first, n = map(np.concatenate, zip(*held))
@@ -171,11 +177,18 @@ def batch_runs(docs: DataFrame, ranges: int) -> DataFrame:
         rows += by_range(range_of(doc[rest].view(np.uint64), ranges), REPEATS, (doc[rest], first[rest], n[rest]), ranges)
         return rows_batch(rows)
 
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[bytes], list[tuple[np.ndarray, np.ndarray]]]]:
+        for batch in batches:
+            for part in slices_of(batch, "text", CHUNK_BYTES):
+                windows = [of_doc(x, 1)[1:] for x in part.column("hot").to_pylist()]
+                only = [(f.astype(np.int64), n.astype(np.int64)) for f, n in windows]
+                yield part.column("doc_id").to_pylist(), part.column("text").cast(pa.large_binary()).to_pylist(), only
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
         with np.errstate(over="ignore"):
-            for ids, own in batches_of(batches):
-                anchor, context, text, first, n = runs_of(own)
+            for ids, own, only in marked(batches) if level else ((*x, None) for x in batches_of(batches)):
+                anchor, context, text, first, n = runs_of(own, level, only)
                 held.append((anchor, context, np.array(ids, np.int64)[text], first, n))
                 count += len(anchor)
                 if count >= BATCH_RUNS:
@@ -183,6 +196,7 @@ def batch_runs(docs: DataFrame, ranges: int) -> DataFrame:
                     held, count = [], 0
             if held:
                 yield settle(held)
+        release()
 
     return docs.mapInArrow(run, "kind int, r int, data binary")
 
@@ -233,8 +247,8 @@ def of_doc(blobs: list[bytes], wide: int) -> list[np.ndarray]:
     return [np.concatenate(x) if x else np.empty(0, np.uint64) for x in out]
 
 
-def repeated_runs(rows: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
-    """Runs of one range: those whose bytes came earlier, by document; and one of each kind of those whose anchor has several kinds."""
+def repeated_runs(rows: list[tuple[int, bytes]], hot: int) -> Iterator[pa.RecordBatch]:
+    """Runs of one range: those whose bytes came earlier, by document; and one of each kind of those whose anchor has several kinds, or more than hot."""
     repeats = [unpack(b, 1) for kind, b in rows if kind == REPEATS]
     if repeats:
         yield from docs_batches(REPEATS, tuple(map(np.concatenate, zip(*repeats))))
@@ -251,54 +265,45 @@ def repeated_runs(rows: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
     begins = np.flatnonzero(changes(anchor))
     kinds = np.diff(np.append(begins, len(anchor)))
     kinds = np.repeat(kinds, kinds)
-    for kind, some in ((NEEDED, (kinds > 1) & (kinds <= HOT)), (HOT_NEEDED, kinds > HOT)):
+    for kind, some in ((NEEDED, (kinds > 1) & (kinds <= hot)), (HOT_NEEDED, kinds > hot)):
         if some.any():
             yield from docs_batches(kind, (anchor[some], doc[some], first[some], n[some]))
 
 
-PIECES, WINDOWS = 4, 5
+PIECES = 4
 
 
 def cut_pieces(touched: DataFrame, ranges: int) -> DataFrame:
-    """touched: (doc_id, text, needed, hot). PIECES: bytes of runs by anchor; WINDOWS: hashes of the windows of hot anchors."""
+    """touched: (doc_id, text, needed). PIECES: bytes of runs by anchor."""
 
-    def settle(held: list[tuple[np.ndarray, ...]], data: list[bytes], windows: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    def settle(held: list[tuple[np.ndarray, ...]], data: list[bytes]) -> pa.RecordBatch:
         rows: list[tuple[int, int, bytes]] = []
-        if held:
-            anchor, doc, first, n = map(np.concatenate, zip(*held))
-            r = range_of(anchor, ranges)
-            order = np.argsort(r, kind="stable")
-            begins = np.flatnonzero(changes(r[order]))
-            for at in np.split(order, begins[1:]):
-                head = pack(0, 0, (anchor[at], doc[at], first[at], n[at]))[2]
-                rows.append((PIECES, int(r[at[0]]), len(head).to_bytes(8, "little") + head + b"".join(data[i] for i in at)))
-        if windows:
-            a, b, doc, first = map(np.concatenate, zip(*windows))
-            rows += by_range(range_of(a, ranges), WINDOWS, (a, b, doc, first, np.ones(len(a))), ranges)
+        anchor, doc, first, n = map(np.concatenate, zip(*held))
+        r = range_of(anchor, ranges)
+        order = np.argsort(r, kind="stable")
+        begins = np.flatnonzero(changes(r[order]))
+        for at in np.split(order, begins[1:]):
+            head = pack(0, 0, (anchor[at], doc[at], first[at], n[at]))[2]
+            rows.append((PIECES, int(r[at[0]]), len(head).to_bytes(8, "little") + head + b"".join(data[i] for i in at)))
         return rows_batch(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, data, windows, size = [], [], [], 0
+        held, data, size = [], [], 0
         with np.errstate(over="ignore"):
             for batch in batches:
-                for doc, text, needed, hot in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                    if needed:
+                for part in slices_of(batch, "text", CHUNK_BYTES):
+                    for doc, text, needed in zip(part.column("doc_id").to_pylist(), part.column("text").cast(pa.large_binary()).to_pylist(), part.column("needed").to_pylist()):
                         anchor, first, n = of_doc(needed, 1)
                         held.append((anchor, np.full(len(anchor), doc, np.int64), first.astype(np.int64), n.astype(np.int64)))
                         pieces = [text[f : f + m + LENGTH - 1] for f, m in zip(first.tolist(), n.tolist())]
                         data += pieces
                         size += sum(map(len, pieces))
-                    if hot:
-                        _, first, n = of_doc(hot, 1)
-                        own = np.repeat(first.astype(np.int64) - np.cumsum(n, dtype=np.int64) + n, n) + np.arange(int(n.sum()))
-                        raw = np.frombuffer(text, np.uint8)
-                        windows.append((*(substring_hash(raw, own, own + LENGTH, k) for k in (0, 1)), np.full(len(own), doc, np.int64), own))
-                        size += 28 * len(own)
-                    if size > 8 << 20:
-                        yield settle(held, data, windows)
-                        held, data, windows, size = [], [], [], 0
-            if held or windows:
-                yield settle(held, data, windows)
+                        if size > 8 << 20:
+                            yield settle(held, data)
+                            held, data, size = [], [], 0
+            if held:
+                yield settle(held, data)
+        release()
 
     return touched.mapInArrow(run, "kind int, r int, data binary")
 
@@ -401,14 +406,7 @@ def as_runs(doc: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def sorted_pieces(rows: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
-    """The repeats among one range's pieces (by suffix order, whole anchors at a time) and windows (by hash)."""
-    windows = [unpack(b, 3) for kind, b in rows if kind == WINDOWS]
-    if windows:
-        a, b, doc, first, _ = map(np.concatenate, zip(*windows))
-        order = np.lexsort((first, doc, b, a))
-        later = ~changes(a[order], b[order])
-        if later.any():
-            yield from docs_batches(REPEATS, as_runs(doc[order][later], first[order][later]))
+    """The repeats among one range's pieces, by suffix order, whole anchors at a time."""
     heads, data = [], []
     for kind, blob in rows:
         if kind == PIECES:
@@ -460,11 +458,19 @@ def remove_repeats(docs: DataFrame, *, ranges: int | None = None, with_text: boo
     ranges = ranges or ranges_for(docs, RANGE_BYTES)
     own = numbered(docs)
     plain = own.select(F.col("n").alias("doc_id"), "text")
-    step = materialize(grouped(batch_runs(plain, ranges), ranges, repeated_runs, BY_DOC), "runs")
+    step, wanted = None, plain
+    for level in range(LEVELS):
+        most = HOT if level < LEVELS - 1 else 2**62
+        found = materialize(grouped(batch_runs(wanted, ranges, level), ranges, lambda rows, most=most: repeated_runs(rows, most), BY_DOC), "runs")
+        step = found if step is None else step.union(found)
+        hot = found.where(F.col("kind") == HOT_NEEDED)
+        if hot.limit(1).count() == 0:
+            break
+        wanted = plain.join(hot.groupBy("doc_id").agg(F.collect_list("data").alias("hot")), "doc_id")
     of = lambda kind: F.collect_list(F.when(F.col("kind") == kind, F.col("data")))
-    marks = step.groupBy("doc_id").agg(of(REPEATS).alias("repeats"), of(NEEDED).alias("needed"), of(HOT_NEEDED).alias("hot"))
+    marks = step.where(F.col("kind") != HOT_NEEDED).groupBy("doc_id").agg(of(REPEATS).alias("repeats"), of(NEEDED).alias("needed"))
     touched = materialize(plain.join(marks, "doc_id"), "touched")
-    pieces = cut_pieces(touched.select("doc_id", "text", "needed", "hot").where("size(needed) > 0 OR size(hot) > 0"), ranges)
+    pieces = cut_pieces(touched.select("doc_id", "text", "needed").where("size(needed) > 0"), ranges)
     found = grouped(pieces, ranges, sorted_pieces, BY_DOC).groupBy("doc_id").agg(F.collect_list("data").alias("more"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
