@@ -185,6 +185,14 @@ def probe(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, STREAMS)
 
 
+def probe_files(spark: SparkSession, path: str) -> DataFrame:
+    """probe() of the files of a folder, a pattern or a uri, of any size: headers alone are read."""
+    from framelake.sources.streams import StreamsSource
+
+    spark.dataSource.register(StreamsSource)
+    return spark.read.format("media_streams").load(path)
+
+
 def requests_of(spark: SparkSession, requests: list[MediaDecodeRequest]) -> DataFrame:
     """Requests as rows, in their order; each input is a path or the place of its bytes in the list."""
     return spark.createDataFrame([as_row(k, r) for k, r in enumerate(requests)], REQUESTS)

@@ -18,8 +18,7 @@ def streams_of(content: bytes) -> list[dict]:
         return [audio(0, h["rate"], h["channels"], n)]
     if content[:9] == b"YUV4MPEG2":
         h = y4m_header(content)
-        n = y4m_count(content)
-        return [{"stream_index": 0, "stream_type": "video", "width": h["width"], "height": h["height"], "fps": float(h["fps"]), "nb_frames": n, "duration_s": float(n / h["fps"])}]
+        return [clip(h, y4m_count(content))]
     if content[:8] == b"\x89PNG\r\n\x1a\n":
         return [still(*struct.unpack_from(">II", content, 16))]
     if content[:2] == b"BM" and len(content) >= 26:
@@ -40,6 +39,10 @@ def audio(index: int, rate: int, channels: int, samples: int) -> dict:
     return {"stream_index": index, "stream_type": "audio", "sample_rate": rate, "channels": channels, "nb_frames": samples, "duration_s": samples / rate if rate else None}
 
 
+def clip(h: dict, frames: int) -> dict:
+    return {"stream_index": 0, "stream_type": "video", "width": h["width"], "height": h["height"], "fps": float(h["fps"]), "nb_frames": frames, "duration_s": float(frames / h["fps"])}
+
+
 def still(width: int, height: int) -> dict:
     """An image is one frame at a rate of one."""
     return {"stream_index": 0, "stream_type": "video", "width": width, "height": height, "fps": 1.0, "nb_frames": 1}

@@ -218,6 +218,22 @@ def test_probe(spark):
     assert found["y4m", "video"].nb_frames == 3 and abs(found["y4m", "video"].fps - 23.976) < 1e-3 and found["bad", None].error
 
 
+def test_headers_of_files(spark, tmp_path):
+    mp4 = headers.mp4(640, 480, 150, 1000, 5000, 44100, 2)
+    late = mp4[:16] + headers.box(b"mdat", bytes(200_000)) + mp4[16:]  # the tracks are told at the end
+    whole = {"a.wav": wav.encode(tone(44100, 1, 2), 44100, 2), "b.png": headers.png(4, 2, bytes(24)), "c.mp4": mp4, "d.y4m": clip(70), "e.flac": flac.encode(np.arange(60)[None] * 7, 8000), "f.bad": b"nothing", "g.mp4": mp4[:40], "h.wav": b"RIFF"}
+    for name, content in {**whole, "z.mp4": late}.items():
+        (tmp_path / name).write_bytes(content)
+    rows = api.probe_files(spark, str(tmp_path)).collect()
+    by_content = api.probe(spark.createDataFrame([(str(tmp_path / k), v) for k, v in whole.items()], "path string, content binary")).collect()
+    assert sorted(map(str, as_of_rows(rows, "z.mp4"))) == sorted(map(str, as_of_rows(by_content, "z.mp4")))
+    assert {(r.stream_type, r.width, r.sample_rate) for r in rows if r.path.endswith("z.mp4")} == {("video", 640, None), ("audio", None, 44100)}
+
+
+def as_of_rows(rows, without):
+    return [(*tuple(r)[:-1], r.error is None) for r in rows if not r.path.endswith(without)]
+
+
 def test_images_are_red_first(spark, tmp_path):
     (tmp_path / "a.png").write_bytes(headers.png(2, 1, bytes([255, 0, 0, 1, 2, 3])))
     (tmp_path / "b.png").write_bytes(b"broken")
