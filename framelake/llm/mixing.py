@@ -14,7 +14,8 @@ shard, rows are put in the order of another hash: resampled() deals them by shar
 
 A running sum over a source never meets in one task: each source is dealt to buckets by the hash that orders it, sums are made by
 bucket, and a running sum within a bucket starts at the sum of the buckets before. Tables of one row a source (or a source
-and bucket) are the only ones that are gathered. The number of buckets grows with the number of rows.
+and bucket) are the only ones that are gathered, and with them the number of sources is limited to some ten thousands. The number of
+buckets grows with the number of rows.
 
 Defined results: a null text has size 0; a null source is a source of its own, the last; documents of size 0 are taken 0 times, as
 are all documents where all sizes are 0; rows with the same id count as documents of their own; an empty table gives an empty
@@ -167,7 +168,7 @@ def mix(docs: DataFrame, size: Column, *, share: float = SHARE, most: int = MOST
     """(row, size, source_size, target, draws) of each row of docs; row: a struct of its columns; draws: an array of (pass, words, shard, place) for each time that the mix takes words of it; words below size: the first so many (never with whole)."""
     tie = F.md5(F.col("text").cast("binary")) if "text" in docs.columns else F.lit("")
     keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id"), F.col("source"), size.alias("_size"), F.xxhash64(F.lit(seed), F.col("doc_id").cast("string")).alias("_hash"), F.coalesce(tie, F.lit("")).alias("_tie"))
-    narrow = materialize(keyed.drop("row"), "mix")
+    narrow = materialize(keyed.drop("row"), "mix") if "text" in docs.columns else keyed.drop("row")  # without texts, docs is narrow itself
     buckets = buckets or max(BUCKETS, 1 << (narrow.count() // BUCKET_ROWS).bit_length())
     bucket = F.pmod(F.shiftrightunsigned("_hash", 20), F.lit(buckets)).cast("int")
     keyed, narrow = keyed.withColumn("_bucket", bucket), narrow.withColumn("_bucket", bucket)
