@@ -30,7 +30,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm.common import slices_of, spread, table, texts
+from framelake.llm.common import release, slices_of, spread, table, texts
 
 KINDS = ("assign", "access", "hex", "random")
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string"
@@ -201,6 +201,8 @@ def redact(docs: DataFrame, path: str, *, mark: str = "[secret]", chars_per_toke
 
         for texts_ in batches:
             yield texts_.map(clean, na_action="ignore")
+            del texts_
+        release()
 
     out = docs.withColumn("text", cleaned("text"))
     if "n_chars" in docs.columns:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from framelake.llm.common import batches_of, spread, table, texts
+from framelake.llm.common import batches_of, release, spread, table, texts
 
 SAMPLE = 3000
 SAMPLE_CHARS = 8_000_000
@@ -309,6 +309,7 @@ def score(docs: DataFrame, weights: Weights | float, *, threshold: float = THRES
             with np.errstate(over="ignore"):
                 found = score_texts(sent.value, [t.decode("utf-8", "replace") for t in held])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.float64())], ["doc_id", "score"])
+        release()
 
     scored = texts(docs).mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", (remainder(F.col("doc_id")) == 1).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
@@ -330,7 +331,9 @@ def rejecting(docs: DataFrame, weights: Weights | float, *, threshold: float = T
                     if size > SCORED_BYTES or k == len(held) - 1:
                         out.append(score_texts(sent.value, held[begin : k + 1]))
                         begin, size = k + 1, 0
+            del held, part
             yield pd.Series(np.concatenate(out) if out else np.empty(0))
+        release()
 
     return docs.where(scored("text") < threshold)
 
