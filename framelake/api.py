@@ -119,8 +119,9 @@ DECODED = "path string, request_id long, stream_index int, stream_type string, f
 VIDEO = "index int, width int, height int, fps double, dimension_order string, device string, dtype string"
 LOUDNESS = ", ".join(f"{k}: {'boolean' if k in ('linear', 'dual_mono') else 'double'}" for k in planning.LOUDNESS_OPTIONS)
 REQUESTS = f"path string, request_id long, start_time double, end_time double, video struct<{VIDEO.replace(' ', ': ').replace(',:', ',')}>, audio array<struct<index: int, sample_rate: int, loudness: struct<{LOUDNESS}>>>"
-#: Bytes of decoded rows that a worker gathers before it sends them.
+#: Bytes of decoded rows that a worker gathers before it sends them, and requests that are sent to all files: some hundred bytes each.
 SENT_BYTES = 8 << 20
+FEW = 10_000
 
 
 def assets(spark: SparkSession, paths: str | list[str], most_bytes: int = planning.MAX_BYTES, s3_config: S3Config | None = None) -> DataFrame:
@@ -194,8 +195,9 @@ def probe_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def requests_of(spark: SparkSession, requests: list[MediaDecodeRequest]) -> DataFrame:
-    """Requests as rows, in their order; each input is a path or the place of its bytes in the list."""
-    return spark.createDataFrame([as_row(k, r) for k, r in enumerate(requests)], REQUESTS)
+    """Requests as rows, in their order; each input is a path or the place of its bytes in the list. Up to FEW are marked to be sent to the files, whose contents then aren't moved."""
+    rows = spark.createDataFrame([as_row(k, r) for k, r in enumerate(requests)], REQUESTS)
+    return F.broadcast(rows) if len(requests) <= FEW else rows
 
 
 def as_row(k: int, r: MediaDecodeRequest) -> tuple:

@@ -63,7 +63,9 @@ def test_requests_for_video(spark):
     content = {"a": clip(60), "n": clip(50, (24000, 1001)), "i": headers.png(4, 2, bytes(range(24))), "w": wav.encode(tone(8000, 1), 8000), "x": b"junk"}
     files = spark.createDataFrame(list(content.items()), "path string, content binary")
     requests = [R("a", video_stream=V()), R("a", video_stream=V(fps=24.0)), R("a", start_time=0.5, end_time=1.0, video_stream=V(width=4, height=3, dtype="float32", dimension_order="NHWC")), R("n", video_stream=V()), R("i", video_stream=V()), R("w", video_stream=V(), audio_streams=[api.AudioStreamRequest(), api.AudioStreamRequest(sample_rate=4000)]), R("x", video_stream=V()), R("a"), R("a", video_stream=V(index=3)), R("a", start_time=5.0, video_stream=V(width=4))]
-    rows = api.decode(files, api.requests_of(spark, requests)).collect()
+    decoded = api.decode(files, api.requests_of(spark, requests))
+    assert "BroadcastHashJoin" in decoded._jdf.queryExecution().executedPlan().toString()
+    rows = decoded.collect()
     by = {}
     for r in rows:
         by.setdefault(r.request_id, []).append(r)
