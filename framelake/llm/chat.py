@@ -225,3 +225,26 @@ def repair(turns: DataFrame, *, chunk: int = CHUNK) -> DataFrame:
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(table(spark, sf_dir, "conversations"))
+
+
+#: By a recursion over the turns: of each state the cheapest way, and of equal ones the one whose choices come first.
+OP7_SQL = r"""
+WITH RECURSIVE turns AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place, count(*) OVER (PARTITION BY conv_id) AS n,
+  CASE role WHEN 'system' THEN 0 WHEN 'user' THEN 1 WHEN 'assistant' THEN 2 ELSE -1 END AS r FROM conversations),
+states AS (SELECT unnest(range(0, 4)) AS s), roles AS (SELECT unnest(range(-1, 3)) AS r), names AS (SELECT unnest(range(0, 3)) AS new),
+legal AS (SELECT s, r, new, CASE WHEN s = 0 AND new < 2 OR s = 1 AND new = 1 OR s = 2 AND new = 2 OR s = 3 AND new = 1 THEN []::VARCHAR[] WHEN new = 2 THEN ['user'] WHEN s = 2 AND new = 1 THEN ['assistant'] END AS added FROM states, roles, names),
+steps AS (SELECT s, r, CASE WHEN new = r THEN 0 ELSE 1 + new END AS nth, (CASE WHEN new = r THEN 0 WHEN r < 0 THEN 0.5 ELSE 3 END + 2 * len(added))::DOUBLE AS cost, new + 1 AS after, CASE WHEN new = r THEN 'keep' ELSE 'relabel' END AS action, added FROM legal WHERE added IS NOT NULL
+  UNION ALL SELECT s, r, 9, (1 + CASE WHEN r = s - 1 THEN 0 WHEN r < 0 THEN 0.5 ELSE 3 END)::DOUBLE, s, 'merge', []::VARCHAR[] FROM states, roles WHERE s > 0),
+best AS (SELECT DISTINCT conv_id, 0::BIGINT AS place, 0::BIGINT AS state, 0.0::DOUBLE AS cost, []::INTEGER[] AS nths, []::STRUCT(after BIGINT, action VARCHAR, added VARCHAR[])[] AS way FROM turns
+  UNION ALL SELECT b.conv_id, b.place + 1, p.after, b.cost + p.cost, list_append(b.nths, p.nth::INTEGER), list_append(b.way, {'after': p.after, 'action': p.action, 'added': p.added})
+  FROM best b JOIN turns t ON t.conv_id IS NOT DISTINCT FROM b.conv_id AND t.place = b.place JOIN steps p ON p.s = b.state AND p.r = t.r
+  QUALIFY row_number() OVER (PARTITION BY b.conv_id, p.after ORDER BY b.cost + p.cost, list_append(b.nths, p.nth::INTEGER)) = 1),
+chosen AS (SELECT b.conv_id, b.way, CASE state WHEN 1 THEN ['user', 'assistant'] WHEN 2 THEN ['assistant'] ELSE []::VARCHAR[] END AS closing
+  FROM best b JOIN (SELECT DISTINCT conv_id, n FROM turns) c ON c.conv_id IS NOT DISTINCT FROM b.conv_id AND c.n = b.place
+  QUALIFY row_number() OVER (PARTITION BY b.conv_id ORDER BY cost + CASE state WHEN 1 THEN 4 WHEN 2 THEN 2 ELSE 0 END, state) = 1),
+told AS (SELECT t.*, c.way[place + 1] AS w, CASE WHEN place = n - 1 THEN closing END AS closing FROM turns t JOIN chosen c ON c.conv_id IS NOT DISTINCT FROM t.conv_id)
+SELECT conv_id, turn, place, role, ['system', 'user', 'assistant'][w.after] AS new_role, w.action AS action, array_to_string(w.added, ',') || CASE WHEN len(closing) > 0 THEN '|' || array_to_string(closing, ',') ELSE '' END AS inserted,
+  CASE WHEN w.action = 'merge' THEN chr(10) || chr(10) || text ELSE CASE WHEN place = 0 THEN '' ELSE chr(10) END || array_to_string(list_transform(w.added, lambda x: '<|' || x || '|>' || chr(10) || chr(10)), '') || '<|' || ['system', 'user', 'assistant'][w.after] || '|>' || chr(10) || text END
+  || CASE WHEN closing IS NULL THEN '' ELSE chr(10) || array_to_string(list_transform(closing, lambda x: '<|' || x || '|>' || chr(10) || chr(10)), '') END AS piece
+FROM told
+"""

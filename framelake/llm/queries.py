@@ -20,4 +20,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_neighbours": neighbours.op9_neighbours,
     "op10_bpe": bpe.op10_bpe,
 }
-ORACLE_SQL: dict[str, str] = {"op2_suffixes": suffixes.OP2_SQL, "op8_jaccard": jaccard.OP8_SQL, "op9_neighbours": neighbours.OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_suffixes": suffixes.OP2_SQL, "op7_chat": chat.OP7_SQL, "op8_jaccard": jaccard.OP8_SQL, "op9_neighbours": neighbours.OP9_SQL}

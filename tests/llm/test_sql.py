@@ -13,7 +13,7 @@ def plain(x):
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query(spark, sf_dir, name):
     c = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "conversations"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     found, expected = QUERIES[name](spark, sf_dir), c.sql(ORACLE_SQL[name])
     names = sorted(expected.columns)
