@@ -7,7 +7,8 @@ sum gives the window's probability. A text's score is that of its most toxic win
 all windows of the whole text are scored.
 
 Labels tell of whole texts. In training, each text is scored with the present weights, and learns at its highest window (and one of
-the others, if it isn't toxic). The first component of each embedding starts from the log odds of its hash in the sample.
+the others, if it isn't toxic). The first component of each embedding starts from the log odds of its hash in the sample. Most words of a
+batch are read by their characters alone, so that a text isn't learned by heart by its rare words; in scoring, all of both is read.
 
 The network is fitted on the driver, on at most SAMPLE labelled texts of each class, of SAMPLE_CHARS characters together at most:
 those least by a hash of their id, each whole, up to the first that goes beyond. The weights, of a fixed size, are sent to the workers.
@@ -40,6 +41,8 @@ EPOCHS, BATCH, RATE = 4, 64, 0.01
 SLOWER = 0.4
 #: A small sample is read more often, until so many steps are done.
 LEAST_STEPS = 300
+#: The share of a batch's distinct words that are read by their characters alone, so that a text isn't learned by heart by its rare words.
+DROPPED = 0.8
 THRESHOLD = 0.7
 SCORED_BYTES = 1 << 20
 SIGNS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”‘’…¡¿"
@@ -157,9 +160,11 @@ def gather(flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.nd
     return flat[np.minimum(first[:, None] + place, len(flat) - 1)], (place < size[:, None]).astype(np.float32)
 
 
-def gradients(w: Weights, words: Words, at: np.ndarray, mask: np.ndarray, target: np.ndarray) -> tuple[float, Weights]:
-    """(mean cross entropy, its gradients) of windows with targets."""
+def gradients(w: Weights, words: Words, at: np.ndarray, mask: np.ndarray, target: np.ndarray, dropped: np.ndarray | None = None) -> tuple[float, Weights]:
+    """(mean cross entropy, its gradients) of windows with targets; dropped: words that are read by their characters alone."""
     n, x = HIDDEN, inputs(w, words)
+    if dropped is not None:
+        x[dropped, :WORD_DIMS] = 0
     states = np.zeros((*at.shape, 2 * n), x.dtype)
     kept: dict[str, list] = {"f": [], "b": []}
     for s, part in (("f", states[:, :, :n]), ("b", states[:, :, n:])):
@@ -192,6 +197,8 @@ def gradients(w: Weights, words: Words, at: np.ndarray, mask: np.ndarray, target
         g |= {f"h{s}": d_u, f"x{s}": x.T @ d_p, f"b{s}": d_p.sum(axis=0)}
         d_x += d_p @ w[f"x{s}"].T
     g["word"], g["char"] = np.zeros_like(w["word"]), np.zeros_like(w["char"])
+    if dropped is not None:
+        d_x[dropped, :WORD_DIMS] = 0
     np.add.at(g["word"], words.word, d_x[:, :WORD_DIMS])
     np.add.at(g["char"], words.grams, (d_x[:, WORD_DIMS:] / words.count[:, None])[words.owner])
     return loss, g
@@ -246,7 +253,7 @@ def fit(texts_: list[str], toxic: np.ndarray, *, epochs: int = EPOCHS, seed: int
                 target = np.concatenate([toxic[part[some]], np.zeros(int(clean.sum()))]).astype(np.float32)
                 at, mask = gather(flat, first[picked], size[picked])
                 used, local = np.unique(at, return_inverse=True)
-                _, g = gradients(w, subset(words, used), local.reshape(at.shape), mask, target)
+                _, g = gradients(w, subset(words, used), local.reshape(at.shape), mask, target, rng.random(len(used)) < DROPPED)
                 step += 1
                 rate = RATE * (1 - 0.8 * epoch / epochs) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
                 for name in w:
