@@ -36,8 +36,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The tokens of each row, with the digests of its ids and of the text that they decode to."""
-    return bpe.encode_documents(docs, bpe.vocabulary_path(), with_ids=True)
+    """The tokens of each row, with the digests of its ids and of the text that they decode to. Workers are lean: the stages before have filled the executors' heaps."""
+    return bpe.encode_documents(docs, bpe.vocabulary_path(), with_ids=True, lean=True)
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -7,7 +7,8 @@ tries the token's longest proper prefix that is a token, then its next one; wher
 marks the place as a dead end, so that no place is left twice by the same way and the time is linear in the word.
 
 A worker holds a bounded part of its batch: texts are taken by their bytes, and a long one is encoded and decoded in pieces that
-end before white space, which no token spans; its digests are made piece by piece.
+end before white space, which no token spans; its digests are made piece by piece. Words and pairs of tokens are remembered up to a
+bound, and from task to task; a lean worker remembers fewer, and nothing after a task, which takes more time.
 
 Defined results: a null text counts as empty; an empty text has no tokens, and its decoded text is empty; a text of any
 length is encoded whole, word by word; strings of the vocabulary's special tokens in a text become these tokens. Rows are
@@ -33,9 +34,10 @@ from pyspark.sql import DataFrame, SparkSession
 from framelake.llm.common import release, slices_of, spread, table, texts
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-#: Pieces of text whose tokens a worker remembers, in each of two generations, and compatible pairs of tokens.
-REMEMBERED = 50_000
-PAIRS = 200_000
+#: Pieces of text whose tokens a worker remembers, in each of two generations; a lean one. As many and more pairs of tokens.
+REMEMBERED = 400_000
+LEAN = 50_000
+PAIRS = 150_000
 #: Bytes of texts whose results a worker holds at once, and characters of a text that it encodes at once.
 HELD_BYTES = 1 << 20
 PIECE = 1 << 18
@@ -100,10 +102,11 @@ class WordVocabulary:
 
 
 class Encoder:
-    """Built once a task from the driver's vocabulary, in less than a tenth of a second; words and compatible pairs are remembered."""
+    """Built from the driver's vocabulary, in less than a tenth of a second; words and compatible pairs are remembered."""
 
-    def __init__(self, vocabulary: WordVocabulary):
+    def __init__(self, vocabulary: WordVocabulary, remembered: int = REMEMBERED):
         v = self.v = vocabulary
+        self.remembered = remembered
         self.automaton = ahocorasick.Automaton()
         for s, i in v.of.items():
             self.automaton.add_word(s, i)
@@ -124,7 +127,7 @@ class Encoder:
         key = left << 20 | right
         known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) >= PAIRS:
+            if len(self.pairs) >= PAIRS + self.remembered:
                 self.pairs.clear()
             known = self.pairs[key] = self._compatible(left, right)
         return known
@@ -208,7 +211,7 @@ class Encoder:
                     x = self.piece(piece)
                 if len(piece) < 100:
                     new[piece] = x
-                    if len(new) >= REMEMBERED:
+                    if len(new) >= self.remembered:
                         self.old, self.new = old, new = new, {}
             out.append(x)
         return b"".join(out)
@@ -221,7 +224,7 @@ class Encoder:
         if ODD.search(text):
             return self.run(text)
         words = self.words
-        if len(words) >= REMEMBERED:
+        if len(words) >= self.remembered:
             words.clear()
         return b"".join([words[w] for w in text.split()])
 
@@ -258,6 +261,7 @@ class Words(dict):
 
 
 SPACE = re.compile("[\t\n\r ]")
+_encoders: dict[str, Encoder] = {}
 
 
 def load(path: str) -> WordVocabulary:
@@ -280,7 +284,7 @@ def pieces_of(text: str, size: int = PIECE) -> Iterator[str]:
     yield text[at:]
 
 
-def encode_documents(docs: DataFrame, path: str, *, with_ids: bool = False, with_text: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, *, with_ids: bool = False, with_text: bool = False, lean: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids array<int>][, decoded string]) of each row of docs.
 
     The vocabulary is read on the driver at path and sent to the workers: a size that the vocabulary fixes, about 2 MB.
@@ -290,7 +294,11 @@ def encode_documents(docs: DataFrame, path: str, *, with_ids: bool = False, with
     schema = SCHEMA + ", ids array<int>" * with_ids + ", decoded string" * with_text
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, batch, part = Encoder(sent.value), None, None
+        encoder, batch, part = _encoders.get(path), None, None
+        if lean or encoder is None:
+            encoder = Encoder(sent.value, LEAN if lean else REMEMBERED)
+            if not lean:
+                _encoders[path] = encoder
         for batch in rows:
             for part in slices_of(batch, 1, HELD_BYTES):
                 yield settle(encoder, part)

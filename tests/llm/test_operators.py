@@ -535,6 +535,7 @@ def test_bpe_of_the_table_is_that_of_the_library(spark, hard, docs):
 def test_bpe_in_pieces(spark, docs, monkeypatch):
     path = bpe.vocabulary_path()
     whole = sorted(map(tuple, bpe.encode_documents(docs, path, with_ids=True, with_text=True).collect()))
+    assert whole == sorted(map(tuple, bpe.encode_documents(docs, path, with_ids=True, with_text=True, lean=True).collect()))
     assert all(len(r[4]) == r[1] and hashlib.sha256(r[5].encode()).hexdigest() == r[3] for r in whole)
     encoder = bpe.Encoder(bpe.load(path))
     for text in ("a  b\n\nc " * 500, "word" * 300 + " e\u0301 \u0301x " * 100, "<|endoftext|> <|endoftext|>x " * 50, "\u00a0x\u2003y " * 80):
