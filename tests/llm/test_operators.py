@@ -64,7 +64,6 @@ def removed(rows):
 def test_suffixes(spark, hard, empty, docs, hot, monkeypatch):
     if hot:
         monkeypatch.setattr(suffixes, "HOT", 1)
-        monkeypatch.setattr(suffixes, "LEVELS", 3)
     for table in (hard, docs):
         found = suffixes.remove_repeats(table, ranges=4).select("doc_id", "n_removed", "n_spans", "kept_sha256").collect()
         assert sorted(map(tuple, found), key=str) == removed(pairs(table.select("doc_id", "text").collect()))
