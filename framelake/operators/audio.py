@@ -63,8 +63,10 @@ def kernel_rows(rows: DataFrame, samples: str, kernel, schema: str) -> DataFrame
     return rows.select(key, samples).mapInArrow(run, f"{key} {dict(rows.dtypes)[key]}, {schema}")
 
 
-def concatenated(parts: DataFrame, keys: list[str], order: str, samples: str) -> DataFrame:
-    """Each key's arrays as one, in order."""
+def concatenated(parts: DataFrame, keys: list[str], order: str, samples: str, capacity: int | None = None) -> DataFrame:
+    """Each key's arrays as one, in order; up to a capacity of samples, where one is given, so that no array grows with the input."""
+    if capacity is not None:
+        parts = appended(parts, keys, [order], samples, capacity)
     listed = F.array_sort(F.collect_list(F.struct(order, samples)))
     return parts.groupBy(*keys).agg(F.flatten(F.transform(listed, lambda x: x[samples])).alias(samples))
 

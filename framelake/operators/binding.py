@@ -37,7 +37,10 @@ def pruned(packets: DataFrame, wanted: DataFrame) -> DataFrame:
     return packets.join(wanted, ["asset_id", "stream_index"], "left_semi")
 
 
-def collapsed(frames: DataFrame) -> DataFrame:
-    """A row for each stream with its pts in order: the shape of a decode result. Only pts are gathered, never payloads."""
+def collapsed(frames: DataFrame, capacity: int | None = None) -> DataFrame:
+    """A row for each stream with its pts in order: the shape of a decode result. Only pts are gathered, never payloads; of the first capacity frames, where one is given."""
+    if capacity is not None:
+        first = Window.partitionBy("asset_id", "stream_index").orderBy("pts", "event_id")
+        frames = frames.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= capacity).drop("_n")
     listed = F.array_sort(F.collect_list(F.struct("pts", "event_id", "pts_seconds")))
     return frames.groupBy("asset_id", "stream_index", "stream_type").agg(listed.alias("rows")).withColumn("pts_list", F.col("rows.pts_seconds")).withColumn("n_frames", F.size("rows").cast("long")).drop("rows")

@@ -91,3 +91,12 @@ def test_dimension_orders_are_inverse(spark):
     a = F.sequence(F.lit(0), F.lit(23))
     r = spark.range(1).select(arrays.chw_to_hwc(arrays.hwc_to_chw(a, 2, 4), 2, 4).alias("x"), arrays.unpadded(arrays.padded(F.transform(a, lambda x: x.cast("double")), 4, 6, 8), 4, 8, 6).alias("y")).first()
     assert r.x == list(range(24)) and r.y == list(range(24))
+
+
+def test_arrays_are_bounded_by_a_capacity(spark):
+    from framelake.operators import audio, binding
+
+    parts = spark.createDataFrame([(1, k, [float(k)] * 4) for k in range(5)], "key int, nth int, e array<double>")
+    assert audio.concatenated(parts, ["key"], "nth", "e", capacity=10).first().e == [0.0] * 4 + [1.0] * 4 + [2.0] * 2
+    frames = spark.createDataFrame([(1, 0, "video", k, k, float(k)) for k in range(9)], "asset_id int, stream_index int, stream_type string, event_id int, pts int, pts_seconds double")
+    assert binding.collapsed(frames, capacity=3).first().pts_list == [0.0, 1.0, 2.0]
