@@ -161,6 +161,9 @@ def count_batches(training: DataFrame, ranges: int) -> DataFrame:
                         rows.append((PAIRS, r, head + f[at].tobytes() + np.diff(np.append(at, len(f))).astype(np.uint32).tobytes() + second[begin:end].tobytes() + count[begin:end].astype(np.uint32).tobytes()))
                     begin = end
                 yield as_batch(rows)
+                del rows, first, second, count, begins
+        _hashes.clear()
+        release()
 
     return training.mapInArrow(run, "kind int, r int, data binary")
 
