@@ -132,14 +132,6 @@ def to_709(light: Column) -> Column:
     return F.when(light < 0.018, light * 4.5).otherwise(1.099 * F.pow(light, F.lit(0.45)) - 0.099)
 
 
-def hdr_to_sdr(rgb: tuple[Column, Column, Column], hlg: Column, white: float = 100.0, peak: float = 10.0) -> tuple[Column, ...]:
-    """Signals of 0 to 1 (PQ, or HLG) with BT.2020 primaries, as signals of BT.709: linear light of which white is 1, the curve on the largest component, the other primaries, and the other transfer."""
-    light = [F.when(hlg, hlg_to_linear(x) * (1000.0 / white)).otherwise(pq_to_linear(x) * (10000.0 / white)) for x in rgb]
-    top = F.greatest(*light, F.lit(1e-6))
-    mapped = [x * (tone_mapped(top, peak) / top) for x in light]
-    return tuple(clamp(to_709(F.greatest(F.lit(0.0), sum((x * w for x, w in zip(mapped, row)), F.lit(0.0)))), 0.0, 1.0) for row in TO_709)
-
-
 def l1(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from framelake.functions import arrays as A
 from framelake.functions import planning as P
-from framelake.operators import audio, binding, compare, timeline
+from framelake.operators import audio, binding, colour, compare, timeline
 from framelake.plans.views import FRAMES, HDR, PARTS, VECTORS, frames, parts, table, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -393,8 +393,8 @@ SELECT vec_id, {", ".join(f"round(least(1, {_OETF.format(x=c)}), 6) AS {c}" for
 def hdr_to_sdr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole chain on pixels: PQ or HLG to light, the tone curve, primaries, and the transfer of the target."""
     signal = lambda i: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.get("e", F.lit(i)) + 1) / 2))
-    r, g, b = A.hdr_to_sdr((signal(0), signal(1), signal(2)), F.col("label") % 2 == 0)
-    return vectors(spark, sf_dir).select("vec_id", F.round(r, 6).alias("r"), F.round(g, 6).alias("g"), F.round(b, 6).alias("b"))
+    pixels = vectors(spark, sf_dir).select("vec_id", "label", signal(0).alias("r"), signal(1).alias("g"), signal(2).alias("b"))
+    return colour.hdr_to_sdr(pixels, F.col("label") % 2 == 0).select("vec_id", *[F.round(c, 6).alias(c) for c in "rgb"])
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE l_linenumber % 4 WHEN 0 THEN (CAST(l_partkey % 256 AS DOUBLE) - 128) / 128 WHEN 1 THEN CAST(l_partkey * 7 % 65536 - 32768 AS DOUBLE) / 32768 WHEN 2 THEN CAST(l_partkey * 1000003 % 4294967296 - 2147483648 AS DOUBLE) / 2147483648 ELSE CAST(l_partkey AS DOUBLE) END AS sample,
